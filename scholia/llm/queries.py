@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import sharding
+from scholia.llm import exact_dedup, sharding
 from scholia.llm.common import documents
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its group of equal texts."""
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards by the hash tree; with where each would be on 41."""
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_sharding,)}
+    return {f.__name__: f for f in (op8_exact_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": OP8_SQL}
