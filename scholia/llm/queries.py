@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import exact_dedup, sharding
+from scholia.llm import exact_dedup, sharding, simhash
 from scholia.llm.common import documents
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of 4-word shingles and its component of fingerprints within 4 bits."""
+    return simhash.near_dedup(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its group of equal texts."""
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256")
@@ -28,7 +33,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op5_simhash, op8_exact_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
