@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import exact_dedup, sharding, simhash
+from scholia.llm import exact_dedup, mixing, sharding, simhash
 from scholia.llm.common import documents
 
 
@@ -15,6 +15,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, with its source's size and target."""
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its group of equal texts."""
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256")
@@ -33,7 +38,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op5_simhash, op7_mixing, op8_exact_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
