@@ -58,14 +58,20 @@ def digest_state(spark: SparkSession, path: str, digest=sha256, batch_bytes: int
         numbers.append(number)
         batch.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # stores are closed once a batch has committed: a store keeps some MB of local files open, and there are few batches
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     written = "digest string, row struct<keep: struct<missing: boolean, id: bigint>, locator: string>, copies bigint"
     batches = spark.read.schema(written).parquet(f"{folder}/state") if numbers else spark.createDataFrame([], written)
     newest = batches.groupBy("digest").agg(F.min("row").alias("row"), F.max("copies").alias("copies"))
