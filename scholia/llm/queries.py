@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import exact_dedup, mixing, quality, sharding, simhash
+from scholia.llm import exact_dedup, langid, mixing, quality, sharding, simhash
 from scholia.llm.common import documents
 
 
@@ -16,6 +16,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by models learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of 4-word shingles and its component of fingerprints within 4 bits."""
     return simhash.near_dedup(documents(spark, sf_dir))
@@ -44,7 +50,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op5_simhash, op7_mixing, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_langid, op5_simhash, op7_mixing, op8_exact_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
