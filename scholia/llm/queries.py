@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import exact_dedup, langid, mixing, quality, sharding, simhash
+from scholia.llm import exact_dedup, langid, mixing, quality, sharding, simhash, tokens
 from scholia.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, words and greedy word pieces."""
+    return tokens.token_counts(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, with its source's size and target."""
     return mixing.mix(documents(spark, sf_dir)).drop("source")
@@ -50,7 +55,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_langid, op5_simhash, op7_mixing, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_langid, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
