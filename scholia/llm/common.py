@@ -63,6 +63,19 @@ def as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def ship(spark: SparkSession, value: object):
+    """A broadcast of a model or index, with its classes, for workers that lack this package. Its size must not grow with the data."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(shared) -> object:
+    from pyspark import cloudpickle
+
+    return cloudpickle.loads(shared.value)
+
+
 def hex16(value: Column) -> Column:
     """16 lowercase hexadecimal digits of a long, read as unsigned."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import exact_dedup, langid, mixing, quality, sharding, simhash, tokens
+from scholia.llm import decontaminate, exact_dedup, langid, mixing, quality, sharding, simhash, tokens
 from scholia.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, edited by a fifth of its characters at most, and which."""
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of 4-word shingles and its component of fingerprints within 4 bits."""
     return simhash.near_dedup(documents(spark, sf_dir))
@@ -55,7 +60,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_langid, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

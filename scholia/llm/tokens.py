@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.common import ship, shipped
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Longer words run through the automaton one by one.
 SIDE_BY_SIDE = 64
@@ -166,10 +168,10 @@ def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(vocabulary(path)))
+    shared = ship(docs.sparkSession, build(vocabulary(path)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
+        a = shipped(shared)
         for b in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
             words, tokens = [], []
