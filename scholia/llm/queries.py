@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import decontaminate, exact_dedup, langid, mixing, quality, sharding, simhash, tokens
+from scholia.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, quality, sharding, simhash, tokens
 from scholia.llm.common import documents
 
 
@@ -59,8 +59,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the copies of runs of lines that occur earlier."""
+    return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
