@@ -257,52 +257,68 @@ def _pieces(low: bytes, longest: int) -> Iterator[tuple[int, bytes]]:
         yield at, low[at : at + step + overlap]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 20_000) -> DataFrame:
-    """doc_id, item_id, edits, similarity, first_byte for each document and benchmark item that it holds."""
-    spark = docs.sparkSession
+def hits(ix: Index, texts: Iterator[str | None], most: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, edits, first byte) for each verified hit; texts are taken together up to a piece's size."""
+    queue, size = [], 0
+    for i, t in enumerate(texts):
+        for first, part in _pieces((t or "").lower().encode("utf-8", "surrogatepass"), ix.longest):
+            if queue and size + len(part) > PIECE:
+                yield from ((queue[q][0], item, edits, queue[q][1] + at) for q, item, edits, at in find(ix, [x[2] for x in queue], most))
+                queue, size = [], 0
+            queue.append((i, first, part))
+            size += len(part)
+    if queue:
+        yield from ((queue[q][0], item, edits, queue[q][1] + at) for q, item, edits, at in find(ix, [x[2] for x in queue], most))
+
+
+def _indexes(benchmark: DataFrame, block: int) -> Iterator:
+    """A broadcast index of each block of items."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
     blocks = max(1, -(-items.count() // block))
-    parts = []
     for number in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()
-        shared = ship(spark, index([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]))
-        parts.append(_search(docs, shared, most))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        yield ship(spark, index([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 20_000) -> DataFrame:
+    """doc_id, item_id, edits, similarity, first_byte for each document and benchmark item that it holds."""
+    found = None
+    for shared in _indexes(benchmark, block):
+        part = _search(docs, shared, most)
+        found = part if found is None else found.unionByName(part)
     best = F.min(F.struct("edits", "first_byte", "similarity")).alias("x")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.edits", "x.similarity", "x.first_byte")
 
 
 def _search(docs: DataFrame, shared, most: float) -> DataFrame:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shipped(shared)
         for b in batches:
-            ids, queue, size, rows = b.column("doc_id").to_pylist(), [], 0, []
-
-            def flush(queue: list[tuple[int, int, bytes]], ids: list = ids, rows: list = rows) -> None:
-                for text, item, edits, at in find(ix, [x[2] for x in queue], most):
-                    rows.append((ids[queue[text][0]], ix.ids[item], edits, round(1 - edits / len(ix.texts[item]), 6), queue[text][1] + at))
-
-            for i, t in enumerate(b.column("text")):
-                for first, part in _pieces((t.as_py() or "").lower().encode("utf-8", "surrogatepass"), ix.longest):
-                    if queue and size + len(part) > PIECE:
-                        flush(queue)
-                        queue, size = [], 0
-                    queue.append((i, first, part))
-                    size += len(part)
-            if queue:
-                flush(queue)
+            ids = b.column("doc_id")
+            rows = [(ids[i].as_py(), ix.ids[item], edits, round(1 - edits / len(ix.texts[item]), 6), at) for i, item, edits, at in hits(ix, (t.as_py() for t in b.column("text")), most)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "similarity", "first_byte"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "similarity", "first_byte"])
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, edits int, similarity double, first_byte long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item."""
-    bad = contaminated(docs, benchmark, most).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item; no shuffle."""
+    for shared in _indexes(benchmark, block):
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ix = shipped(shared)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for i, *_ in hits(ix, (t.as_py() for t in b.column("text")), most):
+                    keep[i] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(each, docs.schema)
+    return docs
 
 
 #: For callers that compare texts as this module does.

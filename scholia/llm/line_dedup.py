@@ -103,8 +103,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     d, t = _keys(docs)
     keyed = docs.select("*", d.alias("_d"), t.alias("_t"))
     met = keyed.join(gone, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    # the split text is a column of its own: inside the lambda it would be split again for each line
+    met = met.withColumn("_lines", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return met.select(*kept, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    return met.select(*kept, text.alias("text"), F.greatest(F.size("_lines"), F.lit(0)).alias("n_lines"), F.greatest(F.size("_gone"), F.lit(0)).alias("n_removed"))

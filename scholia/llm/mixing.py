@@ -75,8 +75,22 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: Column, name:
     return joined.select(*[F.col(f"s.{c}") for c in df.columns], (F.col("_q") + F.coalesce(F.col("_change"), F.lit(0))).cast("long").alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256, blocks_at_least: int = 4096, shard_blocks: int = 4096, buckets: int = 1024, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of ``docs``.
+def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: taken / size times, its fraction decided by a seeded draw.
+
+    So a source's expected words are those that the mix takes of it, and documents stay whole. A document without a word is not taken.
+    """
+    keys = ["doc_id", "source", "check"]
+    taken = mix(docs, seed=seed, keep_check=True, **options).where("taken > 0")
+    share = taken.groupBy(*keys).agg((F.sum("taken") / F.sum("size")).alias("_share"))
+    share = share.withColumn("_times", (F.floor("_share") + F.when(unit(seed + "-copy", F.col("doc_id"), F.col("check")) < F.col("_share") % 1, 1).otherwise(0)).cast("int")).where("_times > 0")
+    check = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    on = docs["doc_id"].eqNullSafe(share["doc_id"]) & docs["source"].eqNullSafe(share["source"]) & (check == share["check"])
+    return docs.join(share, on).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).drop("_n")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256, blocks_at_least: int = 4096, shard_blocks: int = 4096, buckets: int = 1024, seed: str = "mix", keep_check: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (and the text's checksum, ``check``) for each row of ``docs``.
 
     A block has ``block`` words, or fewer where the table would have under ``blocks_at_least`` blocks.
     """
@@ -115,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, bloc
     parts = parts.withColumn("part", F.least(end, (F.col("block") + 1) * words) - F.greatest(F.col("start"), F.col("block") * words))
     met = parts.alias("d").join(times.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")), "left")
     # a start is one document's alone where its size is above 0
-    taken = met.groupBy("d.source", "d.start").agg(F.first("d.doc_id").alias("doc_id"), F.first("d.size").alias("size"), F.sum(F.col("part") * F.coalesce(F.col("times"), F.lit(0))).alias("taken"))
-    every = taken.select("doc_id", "source", "size", "taken").unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    taken = met.groupBy("d.source", "d.start").agg(F.first("d.doc_id").alias("doc_id"), F.first("d.check").alias("check"), F.first("d.size").alias("size"), F.sum(F.col("part") * F.coalesce(F.col("times"), F.lit(0))).alias("taken"))
+    every = taken.select("doc_id", "source", "check", "size", "taken").unionByName(rows.where("size = 0").select("doc_id", "source", "check", "size", F.lit(0).cast("long").alias("taken")))
     out = every.alias("e").join(by_source.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")))
-    return out.select("e.doc_id", "e.source", F.col("e.size").cast("long").alias("size"), F.col("s.source_size").cast("long").alias("source_size"), F.col("s.target").alias("target"), F.col("e.taken").cast("long").alias("taken"))
+    return out.select("e.doc_id", "e.source", *["e.check"] * keep_check, F.col("e.size").cast("long").alias("size"), F.col("s.source_size").cast("long").alias("source_size"), F.col("s.target").alias("target"), F.col("e.taken").cast("long").alias("taken"))

@@ -159,3 +159,15 @@ def classify(docs: DataFrame, model: Network | float, threshold: float = 0.3) ->
 
         scored = docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Network | float, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; no shuffle."""
+    if isinstance(model, float):
+        return docs if model >= threshold else docs.limit(0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(score(model, [t.as_py() for t in b.column("text")]) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)

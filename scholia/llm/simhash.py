@@ -194,7 +194,7 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 5
     return prints.join(of, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` without those that a smaller doc_id of their component stands for.
 
     Rows that repeat one doc_id stay together; rows of null id stay only where no other is in their component.
