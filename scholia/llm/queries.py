@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, quality, sharding, simhash, tokens
+from scholia.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, quality, secrets, sharding, simhash, tokens
 from scholia.llm.common import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret in documents, with the forest's score."""
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of being of good quality, by a network learned from the labels that are not held out."""
     docs = documents(spark, sf_dir)
@@ -65,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
