@@ -1 +1 @@
-
+"""Column functions: text, language, quality, hashing."""

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("scholia.plans.retrieval",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
