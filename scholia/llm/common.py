@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,20 +46,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample_ids(df: DataFrame, of: str, each: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
+def sample_ids(df: DataFrame, of: str, each: int, key: str = "doc_id", seed: int = 7, salts: int = 64) -> DataFrame:
     """At most ``each`` rows (key, of) for each value of ``of``, the same at each run: those with the lowest seeded hash.
 
-    The rank limit is applied in every map task before anything is shuffled, so a value that holds most rows costs no more than others.
+    Ranks are taken within ``salts`` parts of a value first, so no task reads more than ``salts * each`` rows or the value's share of
+    one part, though the value may hold most rows.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(of).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    return df.select(key, of).where(F.col(of).isNotNull() & F.col(key).isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).drop("_r")
-
-
-def as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, each under its own name, once."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    draw = F.xxhash64(F.lit(seed), F.col(key))
+    rows = df.select(key, of).where(F.col(of).isNotNull() & F.col(key).isNotNull()).withColumn("_d", draw).withColumn("_s", F.pmod(F.col("_d"), F.lit(salts)))
+    part = Window.partitionBy(of, "_s").orderBy("_d", key)
+    whole = Window.partitionBy(of).orderBy("_d", key)
+    few = rows.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= each)
+    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= each).select(key, of)
 
 
 def ship(spark: SparkSession, value: object):
@@ -86,5 +85,3 @@ def unit(seed: str, *parts: Column) -> Column:
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
 
-
-LONG = T.LongType()
