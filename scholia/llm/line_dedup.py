@@ -99,10 +99,10 @@ def copies(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """``docs`` with the copies' lines deleted from ``text``, and n_lines and n_removed (of the text as it was)."""
-    gone = copies(docs, min_words).groupBy("d", "t").agg(F.collect_list("line_no").alias("_gone"))
+    gone = copies(docs, min_words).groupBy("d", "t").agg(F.collect_list("line_no").alias("_gone")).withColumnsRenamed({"d": "_gone_d", "t": "_gone_t"})
     d, t = _keys(docs)
     keyed = docs.select("*", d.alias("_d"), t.alias("_t"))
-    met = keyed.join(gone, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
+    met = keyed.join(gone, (F.col("_d") == F.col("_gone_d")) & (F.col("_t") == F.col("_gone_t")), "left")
     # the split text is a column of its own: inside the lambda it would be split again for each line
     met = met.withColumn("_lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))

@@ -102,20 +102,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, bloc
     # every document's first word in its source's sequence: within a hash bucket by a window, and buckets by their sums
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int"))
     inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit(1)), "doc_id", "check", "size")
-    placed = placed.withColumn("place", F.row_number().over(inside)).withColumn("within", F.sum("size").over(inside) - F.col("size"))
+    placed = placed.withColumn("place", F.row_number().over(inside)).withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = rows.groupBy("source", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("size").alias("n"))
     offsets = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
     placed = placed.alias("p").join(offsets.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.bucket") == F.col("o.bucket")))
     placed = placed.select("p.*", (F.col("within") + F.col("before")).alias("start"))
 
-    # quotas
-    whole = F.lit(total // words)
-    quotas = apportion(by_source.withColumn("all", F.lit(0)), ["all"], "target", whole, ["source"])
+    # quotas: a source's last block is shorter, so its claim is its target in blocks of its own mean size
+    count = F.ceil(F.col("source_size") / words)
+    claims = by_source.withColumn("all", F.lit(0)).withColumn("claim", F.when(F.col("source_size") > 0, F.col("target") * count / F.col("source_size")).otherwise(0.0))
+    seats = round(claims.agg(F.coalesce(F.sum("claim"), F.lit(0.0))).first()[0])
+    quotas = apportion(claims, ["all"], "claim", F.lit(seats), ["source"])
     shards = quotas.select("source", "quota", F.ceil(F.col("source_size") / words).cast("long").alias("blocks"), "source_size").where("blocks > 0")
     shards = shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / shard_blocks).cast("long"))).alias("shard"))
     shards = shards.withColumn("n", F.least(F.lit(shard_blocks), F.col("blocks") - F.col("shard") * shard_blocks).cast("long"))
-    shards = shards.withColumn("size", F.least(F.col("n") * words, F.col("source_size") - F.col("shard") * shard_blocks * words))
-    shards = apportion(shards.withColumnRenamed("quota", "seats"), ["source"], "size", F.col("seats"), ["shard"])
+    shards = apportion(shards.withColumnRenamed("quota", "seats"), ["source"], "n", F.col("seats"), ["shard"])
     shards = shards.withColumn("quota", F.least(F.col("quota"), F.col("n") * most))
 
     # blocks taken, and how often
