@@ -99,13 +99,13 @@ def copies(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """``docs`` with the copies' lines deleted from ``text``, and n_lines and n_removed (of the text as it was)."""
-    gone = copies(docs, min_words).groupBy("d", "t").agg(F.collect_list("line_no").alias("_gone")).withColumnsRenamed({"d": "_gone_d", "t": "_gone_t"})
-    d, t = _keys(docs)
-    keyed = docs.select("*", d.alias("_d"), t.alias("_t"))
-    met = keyed.join(gone, (F.col("_d") == F.col("_gone_d")) & (F.col("_t") == F.col("_gone_t")), "left")
+    gone = copies(docs, min_words).groupBy("d", "t").agg(F.collect_list("line_no").alias("gone"))
+    # a row travels as one struct, so that its columns' names clash with none here
+    rows = docs.select(F.struct("*").alias("row"), *_keys(docs)).alias("rows")
+    met = rows.join(gone.alias("gone"), (F.col("rows.d") == F.col("gone.d")) & (F.col("rows.t") == F.col("gone.t")), "left")
     # the split text is a column of its own: inside the lambda it would be split again for each line
-    met = met.withColumn("_lines", F.split("text", "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return met.select(*kept, text.alias("text"), F.greatest(F.size("_lines"), F.lit(0)).alias("n_lines"), F.greatest(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    met = met.select("row", "gone.gone", F.split("row.text", "\n", -1).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return met.select(*kept, text.alias("text"), F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).alias("n_removed"))

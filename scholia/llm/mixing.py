@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     share = share.withColumn("_times", (F.floor("_share") + F.when(unit(seed + "-copy", F.col("doc_id"), F.col("check")) < F.col("_share") % 1, 1).otherwise(0)).cast("int")).where("_times > 0")
     check = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
     on = docs["doc_id"].eqNullSafe(share["doc_id"]) & docs["source"].eqNullSafe(share["source"]) & (check == share["check"])
-    return docs.join(share, on).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).drop("_n")
+    return docs.join(share, on).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), share["_times"])).alias("_copy_of_row")).drop("_copy_of_row")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256, blocks_at_least: int = 4096, shard_blocks: int = 4096, buckets: int = 1024, seed: str = "mix", keep_check: bool = False) -> DataFrame:
