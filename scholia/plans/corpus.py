@@ -105,7 +105,7 @@ c AS (
   SELECT doc_id, t, chunk_index + 1, e - 200, CASE WHEN length(t) <= e + 1000 THEN length(t) ELSE coalesce(nullif(e + 400 + length(regexp_extract(t[e + 401:e + 1000], '(?s)^(.*\s)', 1)), e + 400), e + 1000) END FROM c WHERE e < length(t)
 )
 SELECT doc_id, chunk_index, s::INT AS char_start, e::INT AS char_end, md5(t[s + 1:e]) AS text_md5 FROM c""",
-    "paragraph_explode": r"""WITH p AS (SELECT doc_id, list_filter([trim(x) for x in regexp_split_to_array(text, '\n\s*\n')], lambda x: x <> '') AS ps FROM documents)
+    "paragraph_explode": r"""WITH p AS (SELECT doc_id, list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(text, '\n\s*\n')], lambda x: x <> '') AS ps FROM documents)
 SELECT doc_id, unnest(range(1, len(ps) + 1))::INT AS paragraph, unnest(ps) AS text FROM p""",
     "sanitize_prompt": f"SELECT page_id, md5({_sanitize_sql('html')}) AS safe_md5 FROM pages",
     "lang_detect": f"WITH {_LANG_CTE} SELECT doc_id, {_LANG} AS language FROM l",
