@@ -69,9 +69,56 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+#: Runs of up to ten lines (each has a word, so ten words need no more) against their first occurrence.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+h AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '[^\x20\x09-\x0D]')) AS ix FROM d),
+s AS (SELECT doc_id, ls, ix, unnest(range(1, len(ix) + 1)) AS a FROM h),
+r AS (SELECT doc_id, ls, ix, a, unnest(range(a, least(len(ix), a + 9) + 1)) AS b FROM s),
+k AS (SELECT doc_id, a, ix[a:b] AS run, array_to_string(list_transform(ix[a:b], lambda i: ls[i]), chr(10)) AS body FROM r),
+w AS (SELECT doc_id, a, run, md5(body) AS m, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS words FROM k),
+f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(a) OVER o AS fa FROM w WINDOW o AS (PARTITION BY m ORDER BY doc_id, a)),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(run) AS i FROM f WHERE words >= 10 AND (fd <> doc_id OR fa <> a)) GROUP BY 1)
+SELECT d.doc_id, array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: ls[i]), chr(10)) AS text,
+len(ls)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+def op9_sql() -> str:
+    """The same descent as nested minima, with the checksum as a fold over bytes."""
+    crc = []
+    for n in range(256):
+        c = n
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        crc.append(c)
+
+    def draw(name: str, weight: float) -> str:
+        return f"-ln((('0x' || substr(md5('tree:' || doc_id || ':{name}'), 1, 13))::BIGINT + 0.5) / {16**13}.0) / {weight}"
+
+    def best(nodes: list[tuple[str, float, int]]) -> str:
+        return f"list_min([{', '.join(f'{{d: {draw(name, weight)}, n: {node}}}' for name, weight, node in nodes)}]).n"
+
+    def levels(shards: int, out: str) -> list[str]:
+        inner = sharding._levels(sharding.tree(shards))
+        case = lambda at: f"CASE {' '.join(f'WHEN {at} = {i} THEN {best(c)}' for i, c in enumerate(inner) if i)} ELSE {at} END"
+        return [f"{out}0 AS (SELECT doc_id, i, {best(inner[0])} AS n FROM d)", f"{out}1 AS (SELECT doc_id, i, {case('n')} AS n FROM {out}0)", f"{out} AS (SELECT i, -1 - ({case('n')}) AS n FROM {out}1)"]
+
+    place = {s.shard: s for s in sharding.tree(40)}
+    listed = lambda name: "[" + ", ".join(str(getattr(place[n], name)) for n in range(40)) + "]"
+    table = "[" + ", ".join(map(str, crc)) + "]::BIGINT[]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents), tab AS (SELECT {table} AS tab),
+c AS (SELECT i, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM d, tab),
+{', '.join(levels(40, 'now') + levels(41, 'grown'))},
+r AS (SELECT d.doc_id, strlen(t) + 16 AS size, crc AS text_crc32, now.n::INT AS shard, grown.n::INT AS grown_shard, ('0x' || substr(md5('slot:' || d.doc_id), 1, 6))::INT % 512 AS b FROM d JOIN c USING (i) JOIN now USING (i) JOIN grown USING (i))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY b, doc_id, text_crc32, size) - 1 AS slot, grown_shard, {listed('region')}[shard + 1] AS region, {listed('rack')}[shard + 1] AS rack FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op9_sharding": op9_sql(), "op10_line_dedup": OP10_SQL}

@@ -86,7 +86,8 @@ def slots(df: DataFrame, key: str = "doc_id", tie: list[str] | None = None, shar
     A shard is cut into hash buckets. Counts of buckets (shards x buckets rows at most: a bound that data can't exceed, so they
     are broadcast) give each bucket's first slot; a window numbers the rows inside a bucket. No task sorts a whole shard.
     """
-    cut = df.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    drawn = F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
+    cut = df.withColumn("_b", (F.conv(F.substring(drawn, 1, 6), 16, 10).cast("int") % buckets).cast("int"))
     counts = cut.groupBy(shard, "_b").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.select(shard, "_b", (F.sum("_n").over(Window.partitionBy(shard).orderBy("_b")) - F.col("_n")).alias("_first"))
     inside = Window.partitionBy(shard, "_b").orderBy(F.col(key), *[F.col(c) for c in tie or []])
