@@ -82,15 +82,18 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, per_salt: int = 1
     """doc_id, keep_id, group_size, kept, digest for each row of the parquet table at ``path``."""
     state = cut(digest_state(spark, path, digest, batch_bytes))
     docs = spark.read.parquet(path).select("doc_id", normalised(F.col("text")).alias("body"))
-    docs = docs.withColumn("digest", digest(F.col("body")))
+    # never null, and said to be so: else the joins' null filters would compute the digest once more
+    docs = docs.withColumn("digest", F.coalesce(digest(F.col("body")), F.lit("")))
     total = state.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     # groups above a thousandth of all rows: fewer than a thousand, so their digests can be broadcast
     hot = state.where(F.col("copies") > F.lit(max(per_salt, total // 1000))).select("digest", F.ceil(F.col("copies") / per_salt).cast("int").alias("salts"))
     spread = F.coalesce(F.col("salts"), F.lit(1))
-    salted = docs.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), spread).cast("int")).drop("salts")
+    salted = docs.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), spread).cast("int"), F.lit(0))).drop("salts")
     states = state.join(F.broadcast(hot), "digest", "left").select("digest", "keep", "copies", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
     rows = salted.join(states, ["digest", "salt"])
-    stays = rows.where((F.col("copies") > 1) & (_identity(F.col("doc_id")) == F.col("keep"))).groupBy("digest", "salt").agg(F.first("body").alias("kept_body"))
+    # put so that the planner sees no further join key: both uses of ``rows`` then read one exchange of the texts
+    itself = F.coalesce(F.abs(F.col("doc_id") - F.col("keep.id")) == 0, F.col("doc_id").isNull() & F.col("keep.missing"))
+    stays = rows.where((F.col("copies") > 1) & itself).groupBy("digest", "salt").agg(F.first("body").alias("kept_body"))
     stays = stays.join(F.broadcast(hot), "digest", "left").select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), "kept_body")
     checked = rows.join(stays, ["digest", "salt"], "left").select(
         "doc_id", "digest", F.col("keep.id").alias("keep_id"), F.col("copies").alias("group_size"), F.coalesce(F.col("body") == F.col("kept_body"), F.col("copies") == 1).alias("same"), "keep"
