@@ -95,8 +95,7 @@ def exposure(rows: DataFrame, domain: str, weight: str, source: str, low: float,
 
 def release_gates(rows: DataFrame, least: dict[str, int], part: str = "partition", group: str = "group") -> DataFrame:
     """One row: counts of both parts and groups, groups in both, and whether every gate passes."""
-    counts = rows.agg(F.count_if(F.col(part) == "train").alias("train"), F.count_if(F.col(part) == "valid").alias("valid"), F.countDistinct(group).alias("groups"))
-    shared = leaking_groups(rows, group, part).agg(F.count(F.lit(1)).alias("shared_groups"))
-    both = counts.join(F.broadcast(shared))  # one row each
+    per = rows.groupBy(group).agg(F.count_if(F.col(part) == "train").alias("t"), F.count_if(F.col(part) == "valid").alias("v"), F.countDistinct(part).alias("p"))
+    counts = per.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("train"), F.coalesce(F.sum("v"), F.lit(0)).alias("valid"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("p") > 1).alias("shared_groups"))
     ok = (F.col("train") >= least["train"]) & (F.col("valid") >= least["valid"]) & (F.col("groups") >= least["groups"]) & (F.col("shared_groups") == 0)
-    return both.withColumn("release", ok)
+    return counts.withColumn("release", ok)
