@@ -100,10 +100,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, bloc
     words = max(1, min(block, total // blocks_at_least))
 
     # every document's first word in its source's sequence: within a hash bucket by a window, and buckets by their sums
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int"))
-    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit(1)), "doc_id", "check", "size")
+    placed = rows.withColumn("order", unit(seed + "-order", F.col("doc_id")))
+    placed = placed.withColumn("bucket", F.floor(F.col("order") * buckets).cast("int"))
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "check", "size")
     placed = placed.withColumn("place", F.row_number().over(inside)).withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    sums = rows.groupBy("source", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("size").alias("n"))
+    sums = rows.groupBy("source", F.floor(unit(seed + "-order", F.col("doc_id")) * buckets).cast("int").alias("bucket")).agg(F.sum("size").alias("n"))
     offsets = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
     placed = placed.alias("p").join(offsets.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.bucket") == F.col("o.bucket")))
     placed = placed.select("p.*", (F.col("within") + F.col("before")).alias("start"))
