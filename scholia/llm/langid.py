@@ -34,10 +34,10 @@ _letters: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
-    """Which code points below 0x30000 are letters."""
+    """Which code points below 0x40000 are letters; there are none above."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        _letters = np.fromiter((chr(c).isalpha() for c in range(0x40000)), bool, 0x30000)
     return _letters
 
 
@@ -47,7 +47,7 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lowered = [pad + t.lower() for t in texts]
     raw = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(t) for t in lowered])[:-1]]).astype(np.int64)
-    is_letter = letters()[np.minimum(raw, 0x2FFFF)]
+    is_letter = letters()[np.minimum(raw, 0x3FFFF)]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
     padding = (starts[:, None] + np.arange(ORDER - 1)).ravel()
