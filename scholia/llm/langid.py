@@ -37,7 +37,7 @@ def letters() -> np.ndarray:
     """Which code points below 0x40000 are letters; there are none above."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(c).isalpha() for c in range(0x40000)), bool, 0x30000)
+        _letters = np.fromiter((chr(c).isalpha() for c in range(0x40000)), bool, 0x40000)
     return _letters
 
 

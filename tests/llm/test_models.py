@@ -114,3 +114,9 @@ def test_samples_are_bounded_and_stable(spark):
     df = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN 'x' ELSE 'hot' END AS k")
     got = sorted(map(tuple, sample_ids(df, "k", 50).collect()))
     assert len(got) == 100 and got == sorted(map(tuple, sample_ids(df.repartition(7), "k", 50).collect()))
+
+
+def test_letters_of_all_planes():
+    m = langid.train({"a": ["abc abd " * 20] * 10, "b": ["xyz xyw " * 20] * 10})
+    pred = m.predict(["\U00030001\U00030002", "\U0010ffff", "abd"])[0]
+    assert pred[0] != "und" and pred[1:] == ["und", "a"]
