@@ -22,20 +22,33 @@ def _count(tokens_: Column, phrase: list[str], prefix: bool) -> Column:
     return F.regexp_count(F.concat(F.lit(" "), F.array_join(tokens_, "  "), F.lit(" ")), F.lit("(?= " + "  ".join(phrase) + " )"))
 
 
-def bm25(chunks: DataFrame, phrases: list[list[str]], key: str = "doc_id", text: str = "text", prefix: bool = True, every: bool = False) -> DataFrame:
-    """key, score (lower is better) of chunks that hold any phrase, or all of them with ``every``; rounded to 6 places."""
+def bm25_probes(chunks: DataFrame, probes: list[tuple[list[list[str]], bool, bool]], key: str = "doc_id", text: str = "text") -> list[DataFrame]:
+    """For each probe (phrases, prefix, every): key, score (lower is better; 6 places) of chunks that hold any phrase, or all with ``every``.
+
+    All probes' statistics come from one pass; each probe's scores read only its own counts.
+    """
     toks = chunks.select(key, tokens(F.col(text)).alias("toks"))
-    counts = toks.select(key, F.size("toks").alias("dl"), *[_count(F.col("toks"), p, prefix).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
+    tf = [[f"tf{p}_{i}" for i in range(len(phrases))] for p, (phrases, _, _) in enumerate(probes)]
+    columns = [_count(F.col("toks"), phrase, prefix).alias(tf[p][i]) for p, (phrases, prefix, _) in enumerate(probes) for i, phrase in enumerate(phrases)]
+    counts = toks.select(key, F.size("toks").alias("dl"), *columns)
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(c) > 0).alias(c) for names in tf for c in names]).first()
     total, avgdl = stats["n"], stats["avgdl"] or 1.0
-    score, hit = F.lit(0.0), F.lit(every)
-    for i in range(len(phrases)):
-        idf = F.log((F.lit(float(total)) - stats[f"n{i}"] + 0.5) / (F.lit(float(stats[f"n{i}"])) + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        tf = F.col(f"tf{i}").cast("double")
-        score = score - idf * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.lit(float(avgdl))))
-        hit = (hit & (tf > 0)) if every else (hit | (tf > 0))
-    return counts.where(hit).select(key, F.round(score, 6).alias("score"))
+    out = []
+    for names, (_, _, every) in zip(tf, probes, strict=True):
+        score, hit = F.lit(0.0), F.lit(every)
+        for c in names:
+            idf = F.log((F.lit(float(total)) - stats[c] + 0.5) / (F.lit(float(stats[c])) + 0.5))
+            idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+            n = F.col(c).cast("double")
+            score = score - idf * (n * (K1 + 1.0)) / (n + K1 * (1.0 - B + B * F.col("dl") / F.lit(float(avgdl))))
+            hit = (hit & (n > 0)) if every else (hit | (n > 0))
+        out.append(counts.where(hit).select(key, F.round(score, 6).alias("score")))
+    return out
+
+
+def bm25(chunks: DataFrame, phrases: list[list[str]], key: str = "doc_id", text: str = "text", prefix: bool = True, every: bool = False) -> DataFrame:
+    """One probe's scores."""
+    return bm25_probes(chunks, [(phrases, prefix, every)], key, text)[0]
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", by: str = "score", descending: bool = False) -> DataFrame:

@@ -39,9 +39,8 @@ def bm25_phrase_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multi_probe_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    probes = [R.ranked(R.bm25(docs, PHRASE), 100), R.ranked(R.bm25(docs, TERMS, every=True), 100), R.ranked(R.bm25(docs, TERMS), 100)]
-    return R.first_seen(probes)
+    probes = R.bm25_probes(_docs(spark, d), [(PHRASE, True, False), (TERMS, True, True), (TERMS, True, False)])
+    return R.first_seen([R.ranked(p, 100) for p in probes])
 
 
 def like_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -96,14 +95,13 @@ def per_source_cap_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interleave_compare(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    left, right = R.ranked(R.bm25(docs, [["ther"]]), 20), R.ranked(R.bm25(docs, [["tion"]]), 20)
+    left, right = (R.ranked(p, 20) for p in R.bm25_probes(_docs(spark, d), [([["ther"]], True, False), ([["tion"]], True, False)]))
     return R.interleave(left, right).select("doc_id", F.col("position").cast("int").alias("position"))
 
 
 def facet_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return R.first_seen([R.ranked(R.bm25(docs, [[f]]), 6) for f in ("ther", "tion", "onsh", "eron")]).select("doc_id", "probe")
+    probes = R.bm25_probes(_docs(spark, d), [([[f]], True, False) for f in ("ther", "tion", "onsh", "eron")])
+    return R.first_seen([R.ranked(p, 6) for p in probes]).select("doc_id", "probe")
 
 
 def lexical_coverage_gate(spark: SparkSession, d: str) -> DataFrame:
