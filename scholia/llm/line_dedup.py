@@ -92,7 +92,8 @@ def copies(docs: DataFrame, min_words: int = 10) -> DataFrame:
     )
     stretches = cut(runs.select("d", "t", F.explode(both).alias("x"), F.col("at.line_no").alias("numbers"), first.alias("first")).where("x.a is not null and x.b is not null").select("d", "t", "x.*", F.slice("numbers", F.col("x.s") - F.col("first") + 1, F.col("x.size").cast("int")).alias("numbers")))
     interval = ["size", "a", "b"]
-    firsts = stretches.groupBy(*interval).agg(F.min(F.struct("d", "t", "s")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written down, so that the join reads two plain exchanges: then a stretch that very many documents share can be split between tasks
+    firsts = cut(stretches.groupBy(*interval).agg(F.min(F.struct("d", "t", "s")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = stretches.join(firsts, interval).where(F.struct("d", "t", "s") != F.col("kept"))
     return later.select("d", "t", F.explode("numbers").alias("line_no")).distinct()
 
