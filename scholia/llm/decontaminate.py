@@ -138,7 +138,10 @@ def index(items: list[tuple[object, str | None]], seed: int = 11) -> Index:
 
 
 def candidates(ix: Index, h: np.ndarray) -> np.ndarray:
-    """Distinct (item, first word of the window), as rows; windows are taken at every word."""
+    """Distinct (item, where it would begin, first word of the window), as rows; windows are taken at every word.
+
+    Where an item's first words are missing, it would begin before the window's own document.
+    """
     n = len(h)
     padded = np.concatenate([h, np.zeros(STEPS + 1, np.uint64)])
     first = _joined(np.zeros(1, np.uint64), h)
@@ -159,7 +162,7 @@ def candidates(ix: Index, h: np.ndarray) -> np.ndarray:
                         if len(hit):
                             many = (hi - lo)[hit]
                             entry = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                            found.append(np.stack([rep.items[sample][entry], np.repeat(window[hit], many) - rep.places[sample][entry]], axis=1))
+                            found.append(np.stack([rep.items[sample][entry], (own := np.repeat(window[hit], many)) - rep.places[sample][entry], own], axis=1))
                     if sample:
                         stay = np.flatnonzero(rep.filters[sample][(key >> np.uint64(48)).astype(np.int64)])
                         window, at, key = window[stay], at[stay], key[stay]
@@ -168,7 +171,7 @@ def candidates(ix: Index, h: np.ndarray) -> np.ndarray:
                         break
                 at = at + _moves(padded[at], rep.salt, step).astype(np.int64)
                 np.minimum(at, n, out=at)
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
 
 def distance(item: str, text: str) -> int:
@@ -229,8 +232,9 @@ def find(ix: Index, texts: list[bytes], most: float) -> list[tuple[int, int, int
     first_word = np.searchsorted(starts, offsets)
     done: dict[tuple[int, int], int] = {}
     tried = candidates(ix, h)
-    docs = np.searchsorted(offsets, starts[np.clip(tried[:, 1], 0, len(h) - 1)], side="right") - 1
-    for (item, at), doc in zip(tried.tolist(), docs.tolist(), strict=True):
+    docs = np.searchsorted(offsets, starts[tried[:, 2]], side="right") - 1
+    tried = np.unique(np.stack([tried[:, 0], docs, np.maximum(tried[:, 1], first_word[docs])], axis=1), axis=0)
+    for item, doc, at in tried.tolist():
         size = int(ix.sizes[item])
         if done.get((item, doc), -1) >= at:
             continue

@@ -62,6 +62,15 @@ def test_recall_and_precision():
         assert len(want) > 20
 
 
+def test_passages_that_lack_their_first_words():
+    items, _ = passages(0.0)
+    cut = [" ".join(t.split()[2:]) for _, t in items]
+    texts = [x for t in cut for x in ("some other text of a few words", t)]
+    got = {(k, i) for k, i, *_ in D.hits(D.index(items), texts, 0.2)}
+    want = {(2 * i + 1, i) for (i, t), c in zip(items, cut, strict=True) if D.distance(t, c) <= 0.2 * len(t)}
+    assert got == want and len(want) > 60
+
+
 def test_passages_across_pieces():
     items, texts = passages(0.05)
     whole = " filler words".join(texts) * 8
