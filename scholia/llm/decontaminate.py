@@ -1,29 +1,30 @@
 """Benchmark decontamination: benchmark items found in documents in spite of edits.
 
-Texts are lower-cased and cut into words (runs of letters and digits). The CGK embedding walks over a word sequence: at each
-step it writes the word it stands on and a random function of step and word says whether it moves on; sequences at a small edit
-distance then differ in few steps. Each repetition has its own walk and samples ``SAMPLED`` of its first ``STEPS`` steps; an
-item and a window of its size whose samples agree are a candidate. Repetitions start at evenly spread places of the item, so that
-some walk lies between edits; a window is tried at every word of every document. The samples are compared in the order of the
-walk, and a window leaves once its first samples are those of no item, which changes no result and saves most of the walk.
+Texts are lower-cased and reduced to words (runs of ASCII letters and digits and of all bytes above ASCII) with one space after
+each. The CGK embedding walks over a text's bytes: at each step it writes the byte it stands on, and a random function of step
+and byte says whether it moves on; texts at a small edit distance then differ in few steps, as the walks fall in step again soon
+after an edit. Under one edit in five bytes the far end of a walk over a whole item agrees no more than by chance, so each of
+``REPETITIONS`` repetitions, with its own random function, embeds an item-sized window by walks of ``STEPS`` steps that begin all
+along it: wherever the repetition's random set of byte pairs, a quarter of them all, says so. ``SAMPLED`` steps of each walk are
+sampled; where they are those of an item's walk, a window of the item's size is proposed, by the two walks' places. A window
+that walks from ``VOTES`` cells of ``CELL`` bytes of the item propose (one, for items of under four cells), with places within
+``BAND`` of the item's size, is a candidate: so one stretch that two texts share by chance is none.
 
 Each candidate is then verified exactly: Myers' bit-vector edit distance of the item's characters against any stretch of the
-window and ``SLACK`` of its size on both sides. A document holds an item if at most ``most`` (0.2) of the item's characters
-have to be edited.
+window and its surroundings. A document holds an item if at most ``most`` (0.2) of the item's characters have to be edited; items
+of under ``SHORT`` bytes have to be there as they are. tests/llm/test_decontaminate.py measures recall at 5, 10, 15 and 20% of
+characters or words edited, at random places and evenly spread.
 
-With 16 repetitions the measured recall of passages of 15 words and more with up to a fifth of their words edited is over 0.95
-(tests/llm/test_decontaminate.py); unedited passages are always found.
-
-The items are a stated query set, taken in blocks of at most ``block`` items, whose index is built on the driver and broadcast.
+The items are a stated query set, taken in blocks of about ``block`` characters: a block's texts are broadcast, and each task
+builds the index of their walks (some 60 bytes a character).
 
 Rows: a null or wordless text holds nothing, a null or wordless item is nowhere; very long texts are cut into overlapping pieces;
 repeated documents and items each count; several hits of one item in one document give the best one, then the first; empty
-tables give no rows; other columns are not read.
+tables give no rows; other columns are not read. Ids may be of any type.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,225 +32,220 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.llm.common import ship, shipped
 
-REPETITIONS, STEPS, SAMPLED, SLACK = 16, 15, 5, 0.3
+REPETITIONS, STEPS, SAMPLED, OPEN, VOTES, CELL, BAND, SHORT = 10, 32, 8, 0.25, 3, 16, 0.3, 32
 PIECE = 1 << 18
-BASE = 0x9E3779B97F4A7C15
-MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Walks that are taken together, so that they stay in a core's cache.
+TOGETHER = 1 << 14
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse modulo 2 ** 64 to the powers 0 to n - 1."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
-
-
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of the lower-cased bytes."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _WORD_BYTE[data]
-    change = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = change[::2], change[1::2]
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h ^= h >> np.uint64(29)
-    h *= MIX
-    return starts, ends, h ^ (h >> np.uint64(32))
+
+
+def words(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with one space after each, and where each byte was."""
+    inside = _WORD_BYTE[low]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    return np.where(inside, low, np.uint8(32))[keep], np.flatnonzero(keep)
+
+
+def plain(text: str | None) -> bytes:
+    """A text's words, single-spaced."""
+    low = (text or "").lower().encode("utf-8", "surrogatepass")
+    return words(np.frombuffer(low, np.uint8))[0].tobytes().rstrip(b" ")
 
 
 @dataclass
 class Repetition:
-    salt: np.uint64
+    """A random function of step and byte, the byte pairs that walks begin at, and the steps sampled."""
+
+    moves: np.ndarray
+    opens: np.ndarray
     steps: list[int]
-    #: For each sample: which 16 leading bits of a key some item has.
-    filters: list[np.ndarray]
-    #: For each sample: sorted keys of items whose walk has no later sample, with item and place.
-    keys: list[np.ndarray]
-    items: list[np.ndarray]
-    places: list[np.ndarray]
+
+    def walks(self, text: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where walks begin in the text (as ``padded`` gives it), and each one's sampled bytes as one number."""
+        begin = np.flatnonzero(self.opens.take(pairs))
+        key = np.zeros(len(begin), np.uint64)
+        for first in range(0, len(begin), TOGETHER):
+            at, part = begin[first : first + TOGETHER].copy(), key[first : first + TOGETHER]
+            for step in range(self.steps[-1] + 1):
+                byte = text.take(at)
+                if step in self.steps:
+                    part <<= np.uint64(8)
+                    part |= byte
+                at += self.moves[step].take(byte)
+        return begin, key
+
+
+def padded(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text with room for walks to end in, and the byte pair at each of its places."""
+    longer = np.concatenate([text, np.zeros(STEPS + 2, np.uint8)])
+    return longer, longer[: len(text)].astype(np.uint16) << np.uint16(8) | longer[1 : len(text) + 1]
+
+
+def repetitions(seed: int = 3) -> list[Repetition]:
+    r = np.random.default_rng(seed)
+    part = STEPS // SAMPLED
+    return [Repetition(r.integers(0, 2, (STEPS, 256)), r.random(1 << 16) < OPEN, [0, *(j * part + int(r.integers(0, 2)) for j in range(1, SAMPLED))]) for _ in range(REPETITIONS)]
 
 
 @dataclass
 class Index:
-    ids: list
+    """The items' walks. ``keys``: for each repetition sorted samples; ``items`` and ``places``: whose walk, and from which byte."""
+
     texts: list[str]
     sizes: np.ndarray
     repetitions: list[Repetition]
+    keys: list[np.ndarray]
+    items: list[np.ndarray]
+    places: list[np.ndarray]
+    filters: list[np.ndarray]
+    votes: np.ndarray
+    short: list[tuple[int, bytes]]
     longest: int
-    trigrams: list[np.ndarray]
-    widest: list[int]
 
 
-def _moves(h: np.ndarray, salt: np.uint64, step: int) -> np.ndarray:
-    return (((h ^ salt) * MIX) >> np.uint64(40 + step)) & np.uint64(1)
-
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key * MIX) >> np.uint64(44)).astype(np.intp)
+
+
+def index(items: list[str | None]) -> Index:
+    """The items' samples in all repetitions; wordless items are in none."""
+    kept = [plain(t) for t in items]
+    texts = [k.decode("utf-8", "replace") for k in kept]
+    sizes = np.array([len(k) for k in kept], np.int64)
+    reps = repetitions()
+    keys, owners, places, filters = [], [], [], []
+    for rep in reps:
+        found = [rep.walks(*padded(np.frombuffer(k, np.uint8))) if len(k) >= SHORT else (np.empty(0, np.intp), np.empty(0, np.uint64)) for k in kept]
+        counts = np.array([len(b) for b, _ in found], np.int64)
+        key = np.concatenate([k for _, k in found]) if found else np.empty(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        keys.append(key[order])
+        owners.append(np.repeat(np.arange(len(kept)), counts)[order])
+        places.append((np.concatenate([b for b, _ in found]) if found else np.empty(0, np.intp))[order])
+        known = np.zeros(1 << 20, bool)
+        known[_slot(keys[-1])] = True
+        filters.append(known)
+    votes = np.where(sizes < 4 * CELL, 1, VOTES)
+    short = [(i, k) for i, k in enumerate(kept) if 0 < len(k) < SHORT]
+    return Index(texts, sizes, reps, keys, owners, places, filters, votes, short, int(sizes.max(initial=0)))
+
+
+def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, lowest and highest place where it would begin); ``starts``: where each document of the text begins."""
+    found = []
+    longer, pairs = padded(text)
+    with np.errstate(over="ignore"):
+        for rep, keys, items, places, known in zip(ix.repetitions, ix.keys, ix.items, ix.places, ix.filters, strict=True):
+            if not len(keys):
+                continue
+            begin, key = rep.walks(longer, pairs)
+            maybe = np.flatnonzero(known[_slot(key)])
+            begin, key = begin[maybe], key[maybe]
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            hit = np.flatnonzero(hi > lo)
+            many = (hi - lo)[hit]
+            entry = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            own = np.repeat(begin[hit], many)
+            document = np.searchsorted(starts, own, "right") - 1
+            found.append(np.stack([document * len(ix.texts) + items[entry], own - places[entry], places[entry] // CELL]))
+    if not found:
+        return []
+    pair, at, cell = np.concatenate(found, axis=1)
+    band = np.maximum((BAND * ix.sizes[pair % len(ix.texts)]).astype(np.int64), 1)
+    spans = []
+    for shift in (band // 2, 0 * band):  # bands that overlap by half
+        stripe = (at + shift) // band
+        rows = np.unique(np.stack([pair, stripe, cell]), axis=1)
+        first = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]) if rows.shape[1] else np.empty(0, np.int64)
+        votes = np.diff(np.r_[first, rows.shape[1]])
+        good = first[votes >= ix.votes[rows[0, first] % len(ix.texts)]]
+        width = np.maximum((BAND * ix.sizes[rows[0, good] % len(ix.texts)]).astype(np.int64), 1)
+        low = rows[1, good] * width - (width // 2 if shift.any() else 0)
+        spans += list(zip(rows[0, good].tolist(), low.tolist(), (low + width).tolist(), strict=True))
+    out: list[tuple[int, int, int, int]] = []
+    for pair, low, high in sorted(spans):  # bands that touch are verified together
+        doc, item = divmod(pair, len(ix.texts))
+        if out and out[-1][:2] == (doc, item) and low <= out[-1][3]:
+            out[-1] = (doc, item, out[-1][2], max(high, out[-1][3]))
+        else:
+            out.append((doc, item, low, high))
+    return out
 
-def _joined(key: np.ndarray, h: np.ndarray) -> np.ndarray:
-    key = (key ^ h) * MIX
-    return key ^ (key >> np.uint64(31))
 
+def distances(items: list[str], texts: list[str], together: int = 64) -> np.ndarray:
+    """For each pair the fewest edits that turn the item into some stretch of the text.
 
-def index(items: list[tuple[object, str | None]], seed: int = 11) -> Index:
-    """The items' samples in all repetitions."""
-    r = np.random.default_rng(seed)
-    kept = []
-    for item_id, text in items:
-        low = (text or "").lower().encode("utf-8", "surrogatepass")
-        starts, ends, h = words(np.frombuffer(low, np.uint8))
-        if len(h):
-            kept.append((item_id, b" ".join(low[s:e] for s, e in zip(starts, ends, strict=True)).decode("utf-8", "replace"), h))
-    repetitions = []
-    for number in range(REPETITIONS):
-        salt = np.uint64(r.integers(1, 1 << 63))
-        # one sample of each part of the walk, so that samples seldom stand on one word
-        part = STEPS // (SAMPLED - 1)
-        steps = [0, *(int(r.integers(max(1, (j + 1) * part - 2), (j + 1) * part)) for j in range(SAMPLED - 1))]
-        entries: list[list[tuple[int, int, int]]] = [[] for _ in steps]
-        filters = [np.zeros(1 << 16, bool) for _ in steps]
-        for i, (_, _, h) in enumerate(kept):
-            first = _joined(np.zeros(1, np.uint64), h)
-            place = round(number / max(1, REPETITIONS - 1) * max(0, len(h) - STEPS // 2))
-            at, key, last = place, np.uint64(0), 0
-            for step in range(STEPS):
-                if at >= len(h):
-                    break
-                if step in steps:
-                    last = steps.index(step)
-                    key = _joined(np.array([key]), h[at : at + 1])[0] if step else first[at]
-                    filters[last][int(key >> np.uint64(48))] = True
-                at += int(_moves(h[at : at + 1], salt, step)[0])
-            entries[last].append((int(key), i, place))
-        sorted_entries = [sorted(e) for e in entries]
-        repetitions.append(Repetition(salt, steps, filters, [np.array([x[0] for x in e], np.uint64) for e in sorted_entries], *([np.array([x[j] for x in e], np.int64) for e in sorted_entries] for j in (1, 2))))
-    return Index([k[0] for k in kept], [k[1] for k in kept], np.array([len(k[2]) for k in kept], np.int64), repetitions, max((len(k[1].encode()) for k in kept), default=0), [trigrams(k[1]) for k in kept], [max(len(c.encode()) for c in k[1]) for k in kept])
-
-
-def candidates(ix: Index, h: np.ndarray) -> np.ndarray:
-    """Distinct (item, where it would begin, first word of the window), as rows; windows are taken at every word.
-
-    Where an item's first words are missing, it would begin before the window's own document.
+    Bit-parallel over pairs too: in one long integer each pair has a lane of bits, so that some integer operations a character
+    serve ``together`` pairs.
     """
-    n = len(h)
-    padded = np.concatenate([h, np.zeros(STEPS + 1, np.uint64)])
-    first = _joined(np.zeros(1, np.uint64), h)
-    lead = (first >> np.uint64(48)).astype(np.uint16)
-    found = []
-    with np.errstate(over="ignore"):  # hashes wrap
-        for rep in ix.repetitions:
-            window = np.flatnonzero(rep.filters[0][lead])
-            at, key = window.copy(), first[window]
-            sample = 0
-            for step in range(rep.steps[-1] + 1):
-                if sample < len(rep.steps) and step == rep.steps[sample]:
-                    if sample:
-                        key = _joined(key, padded[at])
-                    if len(rep.keys[sample]):
-                        lo, hi = np.searchsorted(rep.keys[sample], key, "left"), np.searchsorted(rep.keys[sample], key, "right")
-                        hit = np.flatnonzero(hi > lo)
-                        if len(hit):
-                            many = (hi - lo)[hit]
-                            entry = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                            found.append(np.stack([rep.items[sample][entry], (own := np.repeat(window[hit], many)) - rep.places[sample][entry], own], axis=1))
-                    if sample:
-                        stay = np.flatnonzero(rep.filters[sample][(key >> np.uint64(48)).astype(np.int64)])
-                        window, at, key = window[stay], at[stay], key[stay]
-                    sample += 1
-                    if not len(window):
-                        break
-                at = at + _moves(padded[at], rep.salt, step).astype(np.int64)
-                np.minimum(at, n, out=at)
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-
-
-def distance(item: str, text: str) -> int:
-    """The fewest edits that turn ``item`` into some stretch of ``text``; bit-parallel, a few integer operations a character."""
-    m = len(item)
-    if item in text:
-        return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(item):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m
-    best = m
-    for c in text:
-        eq = where.get(c, 0)
-        x = eq | down
-        d = ((((x & up) + up) ^ up) | x) & full
-        plus = (down | ~(d | up)) & full
-        minus = d & up
-        if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
-        plus = (plus << 1) & full
-        minus = (minus << 1) & full
-        up = (minus | ~(d | plus)) & full
-        down = plus & d
-        if score < best:
-            best = score
-    return best
-
-
-def trigrams(text: str) -> np.ndarray:
-    """Sorted numbers of the text's runs of three bytes."""
-    b = np.frombuffer(text.encode(), np.uint8).astype(np.int32)
-    return np.sort(b[:-2] << 16 | b[1:-1] << 8 | b[2:])
-
-
-def may_be_near(item: np.ndarray, region: np.ndarray, edits: int, widest: int) -> bool:
-    """False only where more than ``edits`` edits are certain: each changes three runs of three at most (of characters of ``widest`` bytes: so many more)."""
-    need = len(item) - edits * (2 + widest)
-    if need <= 0:
-        return True
-    # the k-th occurrence of a run in one text meets the k-th in the other
-    lo, hi = np.searchsorted(region, item, "left"), np.searchsorted(region, item, "right")
-    place = np.arange(len(item)) - np.searchsorted(item, item, "left")
-    return int((place < hi - lo).sum()) >= need
+    out = np.zeros(len(items), np.int64)
+    order = sorted(range(len(items)), key=lambda i: (len(items[i]), len(texts[i])))
+    for first in range(0, len(order), together):
+        some = order[first : first + together]
+        width = (len(items[some[-1]]) + 2 + 7) // 8
+        none, lanes = bytes(width), []
+        for i in some:
+            places: dict[str, int] = {}
+            for k, c in enumerate(items[i]):
+                places[c] = places.get(c, 0) | 1 << k
+            lanes.append({c: bits.to_bytes(width, "little") for c, bits in places.items()})
+        join = lambda parts: int.from_bytes(b"".join(parts), "little")
+        full = join(((1 << len(items[i])) - 1).to_bytes(width, "little") for i in some)
+        tops = join((1 << len(items[i]) >> 1).to_bytes(width, "little") for i in some)
+        columns = max(len(texts[i]) for i in some)
+        chars = [texts[i].ljust(columns, "\0") for i in some]
+        up, down, ups, downs = full, 0, [], []
+        for column in zip(*chars, strict=True):
+            eq = join([lane.get(c, none) for lane, c in zip(lanes, column, strict=True)])
+            x = eq | down
+            d = ((((x & up) + up) ^ up) | x) & full
+            plus = down | full & ~(d | up)
+            minus = d & up
+            ups.append((plus & tops).to_bytes(width * len(some), "little"))
+            downs.append((minus & tops).to_bytes(width * len(some), "little"))
+            plus = plus << 1 & full
+            up = (minus << 1 & full) | full & ~(d | plus)
+            down = plus & d
+        bits = lambda rows: np.frombuffer(b"".join(rows), np.uint8).reshape(columns, len(some), width).any(axis=2).astype(np.int64)
+        sizes = np.array([len(items[i]) for i in some])
+        lowest = np.cumsum(bits(ups) - bits(downs), axis=0).min(axis=0, initial=0) if columns else 0
+        out[some] = sizes + lowest
+    return out
 
 
 def find(ix: Index, texts: list[bytes], most: float) -> list[tuple[int, int, int, int]]:
     """(text, item, edits, first byte) for each verified hit in the lower-cased texts; not yet one for each text and item."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    starts, ends, h = words(data)
-    if not len(h) or not ix.texts:
+    text, where = words(np.frombuffer(b"\n".join([*texts, b""]), np.uint8))
+    if not len(text) or not ix.texts:
         return []
+    starts = np.searchsorted(where, offsets)  # also the end of the last
     out = []
-    first_word = np.searchsorted(starts, offsets)
-    done: dict[tuple[int, int], int] = {}
-    tried = candidates(ix, h)
-    docs = np.searchsorted(offsets, starts[tried[:, 2]], side="right") - 1
-    tried = np.unique(np.stack([tried[:, 0], docs, np.maximum(tried[:, 1], first_word[docs])], axis=1), axis=0)
-    for item, doc, at in tried.tolist():
-        size = int(ix.sizes[item])
-        if done.get((item, doc), -1) >= at:
-            continue
-        slack = int(SLACK * size) + 2
-        lo, hi = max(at - slack, int(first_word[doc])), min(at + size + slack, int(first_word[doc + 1]))
-        if hi <= lo:
-            continue
-        region = b" ".join(texts[doc][s - offsets[doc] : e - offsets[doc]] for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)).decode("utf-8", "replace")
-        if ix.texts[item] not in region and not may_be_near(ix.trigrams[item], trigrams(region), int(most * len(ix.texts[item])), ix.widest[item]):
-            continue
-        edits = distance(ix.texts[item], region)
-        if edits <= most * len(ix.texts[item]):
-            out.append((doc, item, edits, int(starts[max(at, lo)] - offsets[doc])))
-            if edits == 0:
-                done[item, doc] = at + size // 2
+    for item, literal in ix.short:
+        for doc, part in enumerate(texts):
+            at = (b" " + (whole := text[starts[doc] : starts[doc + 1]].tobytes())).find(b" " + literal + b" ") if len(part) >= len(literal) else -1
+            if at >= 0 and whole:
+                out.append((doc, item, 0, int(where[starts[doc] + at] - offsets[doc])))
+    tried = []
+    for doc, item, low, high in candidates(ix, text, starts[:-1]):
+        slack = int(most * ix.sizes[item]) + 4
+        lo, hi = max(low - slack, int(starts[doc])), min(high + int(ix.sizes[item]) + slack, int(starts[doc + 1]))
+        while starts[doc] < lo < hi and text[lo] & 0xC0 == 0x80:  # whole characters
+            lo -= 1
+        while lo < hi < starts[doc + 1] and text[hi] & 0xC0 == 0x80:
+            hi += 1
+        if lo < hi:
+            tried.append((doc, item, int(where[min(max((low + high) // 2, lo), hi - 1)] - offsets[doc]), text[lo:hi].tobytes().decode("utf-8", "replace")))
+    edits = distances([ix.texts[item] for _, item, _, _ in tried], [region for *_, region in tried])
+    out.extend((doc, item, int(e), at) for (doc, item, at, _), e in zip(tried, edits, strict=True) if e <= most * len(ix.texts[item]))
     return out
 
 
@@ -275,46 +271,47 @@ def hits(ix: Index, texts: Iterator[str | None], most: float) -> Iterator[tuple[
         yield from ((queue[q][0], item, edits, queue[q][1] + at) for q, item, edits, at in find(ix, [x[2] for x in queue], most))
 
 
-def _indexes(benchmark: DataFrame, block: int) -> Iterator:
-    """A broadcast index of each block of items."""
-    spark = benchmark.sparkSession
+def _blocks(benchmark: DataFrame, block: int) -> Iterator:
+    """A broadcast of each block of items: ids (an Arrow array) and texts."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    blocks = max(1, -(-items.count() // block))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
     for number in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()
-        yield ship(spark, index([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).toArrow()
+        yield ship(benchmark.sparkSession, (rows["item_id"].combine_chunks(), rows["text"].to_pylist()))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 1 << 20) -> DataFrame:
     """doc_id, item_id, edits, similarity, first_byte for each document and benchmark item that it holds."""
     found = None
-    for shared in _indexes(benchmark, block):
-        part = _search(docs, shared, most)
+    for shared in _blocks(benchmark, block):
+        part = _search(docs, benchmark.schema["item_id"].dataType, shared, most)
         found = part if found is None else found.unionByName(part)
     best = F.min(F.struct("edits", "first_byte", "similarity")).alias("x")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.edits", "x.similarity", "x.first_byte")
 
 
-def _search(docs: DataFrame, shared, most: float) -> DataFrame:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+def _search(docs: DataFrame, item_type: T.DataType, shared, most: float) -> DataFrame:
+    out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("edits", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_byte", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shipped(shared)
+        ids, texts = shipped(shared)
+        ix = index(texts)
         for b in batches:
-            ids = b.column("doc_id")
-            rows = [(ids[i].as_py(), ix.ids[item], edits, round(1 - edits / len(ix.texts[item]), 6), at) for i, item, edits, at in hits(ix, (t.as_py() for t in b.column("text")), most)]
+            rows = [(i, item, edits, round(1 - edits / len(ix.texts[item]), 6), at) for i, item, edits, at in hits(ix, (t.as_py() for t in b.column("text")), most)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "similarity", "first_byte"])
+                doc, item, *rest = zip(*rows, strict=True)
+                arrays = [b.column("doc_id").take(pa.array(doc)), ids.take(pa.array(item)), *(pa.array(c, kind) for c, kind in zip(rest, (pa.int32(), pa.float64(), pa.int64()), strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "edits", "similarity", "first_byte"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, edits int, similarity double, first_byte long")
+    return docs.select("doc_id", "text").mapInArrow(each, out)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 20_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; no shuffle."""
-    for shared in _indexes(benchmark, block):
+    for shared in _blocks(benchmark, block):
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = shipped(shared)
+            ix = index(shipped(shared)[1])
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for i, *_ in hits(ix, (t.as_py() for t in b.column("text")), most):
@@ -323,7 +320,3 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, block: int =
 
         docs = docs.mapInArrow(each, docs.schema)
     return docs
-
-
-#: For callers that compare texts as this module does.
-WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
