@@ -1,8 +1,8 @@
 """Benchmark decontamination: benchmark items found in documents in spite of edits.
 
 Texts are lower-cased and reduced to words (runs of ASCII letters and digits and of all bytes above ASCII) with one space after
-each. The CGK embedding walks over a text's bytes: at each step it writes the byte it stands on, and a random function of step
-and byte says whether it moves on; texts at a small edit distance then differ in few steps, as the walks fall in step again soon
+each. The CGK embedding walks over a text's bytes: at each step it writes the class of the byte it stands on (a letter, or one of
+six classes of other bytes), and a random function of step and class says whether it moves on; texts at a small edit distance then differ in few steps, as the walks fall in step again soon
 after an edit. Under one edit in five bytes the far end of a walk over a whole item agrees no more than by chance, so each of
 ``REPETITIONS`` repetitions, with its own random function, embeds an item-sized window by walks of ``STEPS`` steps that begin all
 along it: wherever the repetition's random set of byte pairs, a quarter of them all, says so. ``SAMPLED`` steps of each walk are
@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 from scholia.llm.common import ship, shipped
 
-REPETITIONS, STEPS, SAMPLED, OPEN, VOTES, CELL, BAND, SHORT = 10, 32, 8, 0.25, 3, 16, 0.3, 32
+REPETITIONS, STEPS, SAMPLED, OPEN, VOTES, EARLY, CELL, BAND, SHORT = 8, 36, 8, 0.25, 3, 5, 16, 0.3, 32
 PIECE = 1 << 18
 #: Walks that are taken together, so that they stay in a core's cache.
-TOGETHER = 1 << 14
+TOGETHER = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -60,39 +60,78 @@ def plain(text: str | None) -> bytes:
     return words(np.frombuffer(low, np.uint8))[0].tobytes().rstrip(b" ")
 
 
+#: Classes of bytes, of five bits: a space, each letter, three of digits and two of bytes above ASCII.
+_CLASS = np.zeros(256, np.uint16)
+_CLASS[97:123] = np.arange(1, 27)
+_CLASS[48:58] = 27 + np.arange(10) % 3
+_CLASS[128:] = 30 + np.arange(128) % 2
+
+
 @dataclass
 class Repetition:
-    """A random function of step and byte, the byte pairs that walks begin at, and the steps sampled."""
+    """The byte pairs that walks begin at; for each three steps how far a walk moves, by the three classes ahead; which threes are sampled."""
 
-    moves: np.ndarray
     opens: np.ndarray
-    steps: list[int]
+    moves: np.ndarray
+    sampled: np.ndarray
+
+    def walks(self, pairs: np.ndarray, threes: np.ndarray, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where walks begin in a text (as ``ahead`` gives it), and each one's samples as one number.
+
+        ``early``: which slots the first ``EARLY`` samples of some item's walk have; other walks are given up there.
+        """
+        every = np.flatnonzero(self.opens.take(pairs))
+        begins, keys = [every[:0]], [np.empty(0, np.int64)]
+        for first in range(0, len(every), TOGETHER):
+            begin = every[first : first + TOGETHER]
+            at, key, samples = begin.copy(), np.zeros(len(begin), np.int64), 0
+            seen, far = np.empty(len(at), np.uint16), np.empty(len(at), np.intp)
+            for moves, sampled in zip(self.moves, self.sampled, strict=True):
+                threes.take(at, out=seen, mode="clip")
+                moves.take(seen, out=far, mode="clip")
+                at += far
+                if sampled:
+                    key <<= 5
+                    key |= seen >> np.uint16(10)
+                    samples += 1
+                    if samples == EARLY and early is not None:
+                        stay = np.flatnonzero(early.take(_slot(key)))
+                        begin, at, key = begin[stay], at[stay], key[stay]
+                        seen, far = seen[: len(stay)], far[: len(stay)]
+            begins.append(begin)
+            keys.append(key)
+        return np.concatenate(begins), np.concatenate(keys)
 
-    def walks(self, text: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where walks begin in the text (as ``padded`` gives it), and each one's sampled bytes as one number."""
-        begin = np.flatnonzero(self.opens.take(pairs))
-        key = np.zeros(len(begin), np.uint64)
-        for first in range(0, len(begin), TOGETHER):
-            at, part = begin[first : first + TOGETHER].copy(), key[first : first + TOGETHER]
-            for step in range(self.steps[-1] + 1):
-                byte = text.take(at)
-                if step in self.steps:
-                    part <<= np.uint64(8)
-                    part |= byte
-                at += self.moves[step].take(byte)
-        return begin, key
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * MIX) >> np.uint64(44)).astype(np.intp)
 
 
-def padded(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text with room for walks to end in, and the byte pair at each of its places."""
-    longer = np.concatenate([text, np.zeros(STEPS + 2, np.uint8)])
-    return longer, longer[: len(text)].astype(np.uint16) << np.uint16(8) | longer[1 : len(text) + 1]
+def ahead(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each place of the text two bytes and, with room for walks to end in, three classes."""
+    longer = np.concatenate([text, np.zeros(STEPS + 4, np.uint8)])
+    pairs = longer[: len(text)].astype(np.uint16) << np.uint16(8) | longer[1 : len(text) + 1]
+    c = _CLASS.take(longer)
+    return pairs, c[:-2] << np.uint16(10) | c[1:-1] << np.uint16(5) | c[2:]
 
 
 def repetitions(seed: int = 3) -> list[Repetition]:
+    """Random functions of step and class, three steps of which make one table: the walk's places are at most two classes ahead."""
     r = np.random.default_rng(seed)
-    part = STEPS // SAMPLED
-    return [Repetition(r.integers(0, 2, (STEPS, 256)), r.random(1 << 16) < OPEN, [0, *(j * part + int(r.integers(0, 2)) for j in range(1, SAMPLED))]) for _ in range(REPETITIONS)]
+    three = np.arange(1 << 15)
+    classes = np.stack([three >> 10, three >> 5 & 31, three & 31])
+    out = []
+    for _ in range(REPETITIONS):
+        moves = []
+        for _ in range(STEPS // 3):
+            far = np.zeros(1 << 15, np.intp)
+            for step in r.integers(0, 2, (3, 32)):
+                far += step[classes[far, three]]
+            moves.append(far)
+        sampled = np.zeros(STEPS // 3, bool)
+        sampled[[0, *(1 + r.choice(STEPS // 3 - 1, SAMPLED - 1, replace=False))]] = True
+        out.append(Repetition(r.random(1 << 16) < OPEN, np.array(moves), sampled))
+    return out
 
 
 @dataclass
@@ -111,10 +150,6 @@ class Index:
     longest: int
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * MIX) >> np.uint64(44)).astype(np.intp)
-
-
 def index(items: list[str | None]) -> Index:
     """The items' samples in all repetitions; wordless items are in none."""
     kept = [plain(t) for t in items]
@@ -123,15 +158,16 @@ def index(items: list[str | None]) -> Index:
     reps = repetitions()
     keys, owners, places, filters = [], [], [], []
     for rep in reps:
-        found = [rep.walks(*padded(np.frombuffer(k, np.uint8))) if len(k) >= SHORT else (np.empty(0, np.intp), np.empty(0, np.uint64)) for k in kept]
+        found = [rep.walks(*ahead(np.frombuffer(k, np.uint8))) if len(k) >= SHORT else (np.empty(0, np.intp), np.empty(0, np.int64)) for k in kept]
         counts = np.array([len(b) for b, _ in found], np.int64)
-        key = np.concatenate([k for _, k in found]) if found else np.empty(0, np.uint64)
+        key = np.concatenate([k for _, k in found]) if found else np.empty(0, np.int64)
         order = np.argsort(key, kind="stable")
         keys.append(key[order])
         owners.append(np.repeat(np.arange(len(kept)), counts)[order])
         places.append((np.concatenate([b for b, _ in found]) if found else np.empty(0, np.intp))[order])
-        known = np.zeros(1 << 20, bool)
-        known[_slot(keys[-1])] = True
+        known = np.zeros((2, 1 << 20), bool)
+        known[0, _slot(keys[-1] >> 5 * (SAMPLED - EARLY))] = True
+        known[1, _slot(keys[-1])] = True
         filters.append(known)
     votes = np.where(sizes < 4 * CELL, 1, VOTES)
     short = [(i, k) for i, k in enumerate(kept) if 0 < len(k) < SHORT]
@@ -141,13 +177,13 @@ def index(items: list[str | None]) -> Index:
 def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(document, item, lowest and highest place where it would begin); ``starts``: where each document of the text begins."""
     found = []
-    longer, pairs = padded(text)
+    pairs, threes = ahead(text)
     with np.errstate(over="ignore"):
         for rep, keys, items, places, known in zip(ix.repetitions, ix.keys, ix.items, ix.places, ix.filters, strict=True):
             if not len(keys):
                 continue
-            begin, key = rep.walks(longer, pairs)
-            maybe = np.flatnonzero(known[_slot(key)])
+            begin, key = rep.walks(pairs, threes, known[0])
+            maybe = np.flatnonzero(known[1].take(_slot(key)))
             begin, key = begin[maybe], key[maybe]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(hi > lo)
@@ -160,16 +196,17 @@ def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[in
         return []
     pair, at, cell = np.concatenate(found, axis=1)
     band = np.maximum((BAND * ix.sizes[pair % len(ix.texts)]).astype(np.int64), 1)
-    spans = []
-    for shift in (band // 2, 0 * band):  # bands that overlap by half
-        stripe = (at + shift) // band
-        rows = np.unique(np.stack([pair, stripe, cell]), axis=1)
-        first = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]) if rows.shape[1] else np.empty(0, np.int64)
-        votes = np.diff(np.r_[first, rows.shape[1]])
-        good = first[votes >= ix.votes[rows[0, first] % len(ix.texts)]]
-        width = np.maximum((BAND * ix.sizes[rows[0, good] % len(ix.texts)]).astype(np.int64), 1)
-        low = rows[1, good] * width - (width // 2 if shift.any() else 0)
-        spans += list(zip(rows[0, good].tolist(), low.tolist(), (low + width).tolist(), strict=True))
+    # a band's number and a cell's fit in 36 bits: bands have 9 bytes or more, and an item fewer than 2 ** 20
+    far, spans = (np.int64(1) << 19), []
+    for half in (True, False):  # bands that overlap by half
+        shift = band // 2 * half
+        rows = np.unique(pair << 36 | (at + shift) // band + far << 16 | cell)
+        first = np.flatnonzero(np.r_[True, rows[1:] >> 16 != rows[:-1] >> 16]) if len(rows) else rows
+        votes = np.diff(np.r_[first, len(rows)])
+        good = rows[first[votes >= ix.votes[(rows[first] >> 36) % len(ix.texts)]]]
+        width = np.maximum((BAND * ix.sizes[(good >> 36) % len(ix.texts)]).astype(np.int64), 1)
+        low = ((good >> 16 & 0xFFFFF) - far) * width - width // 2 * half
+        spans += list(zip((good >> 36).tolist(), low.tolist(), (low + width).tolist(), strict=True))
     out: list[tuple[int, int, int, int]] = []
     for pair, low, high in sorted(spans):  # bands that touch are verified together
         doc, item = divmod(pair, len(ix.texts))
@@ -180,6 +217,10 @@ def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[in
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def distances(items: list[str], texts: list[str], together: int = 64) -> np.ndarray:
     """For each pair the fewest edits that turn the item into some stretch of the text.
 
@@ -191,20 +232,23 @@ def distances(items: list[str], texts: list[str], together: int = 64) -> np.ndar
     for first in range(0, len(order), together):
         some = order[first : first + together]
         width = (len(items[some[-1]]) + 2 + 7) // 8
-        none, lanes = bytes(width), []
-        for i in some:
-            places: dict[str, int] = {}
-            for k, c in enumerate(items[i]):
-                places[c] = places.get(c, 0) | 1 << k
-            lanes.append({c: bits.to_bytes(width, "little") for c, bits in places.items()})
         join = lambda parts: int.from_bytes(b"".join(parts), "little")
         full = join(((1 << len(items[i])) - 1).to_bytes(width, "little") for i in some)
         tops = join((1 << len(items[i]) >> 1).to_bytes(width, "little") for i in some)
         columns = max(len(texts[i]) for i in some)
-        chars = [texts[i].ljust(columns, "\0") for i in some]
+        # for each lane the places of each character of the items; 0 stands for all others
+        known = np.unique(np.concatenate([_codes(items[i]) for i in some]))
+        places = np.zeros((len(some), len(known) + 1, width * 8), np.uint8)
+        chars = np.zeros((columns, len(some)), np.intp)
+        for lane, i in enumerate(some):
+            own, text = _codes(items[i]), _codes(texts[i])
+            places[lane, np.searchsorted(known, own) + 1, np.arange(len(own))] = 1
+            at = np.minimum(np.searchsorted(known, text), len(known) - 1)
+            chars[: len(text), lane] = np.where(known[at] == text, at + 1, 0)
+        equal = np.packbits(places, axis=2, bitorder="little")[np.arange(len(some)), chars]
         up, down, ups, downs = full, 0, [], []
-        for column in zip(*chars, strict=True):
-            eq = join([lane.get(c, none) for lane, c in zip(lanes, column, strict=True)])
+        for column in equal:
+            eq = int.from_bytes(column.tobytes(), "little")
             x = eq | down
             d = ((((x & up) + up) ^ up) | x) & full
             plus = down | full & ~(d | up)
@@ -262,7 +306,7 @@ def hits(ix: Index, texts: Iterator[str | None], most: float) -> Iterator[tuple[
     queue, size = [], 0
     for i, t in enumerate(texts):
         for first, part in _pieces((t or "").lower().encode("utf-8", "surrogatepass"), ix.longest):
-            if queue and size + len(part) > PIECE:
+            if queue and (size + len(part) > PIECE or len(queue) == 1024):
                 yield from ((queue[q][0], item, edits, queue[q][1] + at) for q, item, edits, at in find(ix, [x[2] for x in queue], most))
                 queue, size = [], 0
             queue.append((i, first, part))
