@@ -5,11 +5,12 @@ of n-gram hashes: for each order, the n-grams that any language has seen with ev
 and the contexts with every language's back-off weight. One binary search for a character then serves all languages, and lower
 orders are looked at only for the few n-grams that none has seen. The language with the lowest cross-entropy a character wins.
 
-Calibration, on learned languages' texts that were kept out of the counts: the sharpness of the score (a posterior), and
-for each language the cross-entropy above which a text is marked ``rejected``.
+Calibration, on learned languages' texts that were kept out of the counts, whole and in stretches of 20 to 1,000 characters from
+all over them: the sharpness of the score (a posterior), and for each language the cross-entropy above which a text is marked
+``rejected``.
 
-Training takes a bounded sample: at most ``each`` documents a language, the first ``chars`` characters of each. Scoring reads
-whole texts, in pieces of bounded size.
+Training takes a bounded sample of rows: at most ``each`` documents a language, whole. Counting and scoring take texts in pieces
+of bounded size; a piece goes on from the characters before it, so pieces change nothing.
 
 Rows: a null text, or one without a letter, gives ``und`` and score 0; so does every text where nothing can be learned; equal
 texts get equal results; ties go to the language first in order; empty tables give no rows; only doc_id, text and lang are read.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.llm.common import held_out, sample_ids
 
@@ -41,12 +43,11 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' characters with ORDER - 1 spaces before each text; where each text begins; which characters count."""
-    pad = " " * (ORDER - 1)
-    lowered = [pad + t.lower() for t in texts]
-    raw = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in lowered])[:-1]]).astype(np.int64)
+def characters(parts: list[str], before: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased parts' characters, ORDER - 1 ones before each (spaces, or those given); where each begins; which characters count."""
+    pads = before or [" " * (ORDER - 1)] * len(parts)
+    raw = np.frombuffer("".join(x for pair in zip(pads, parts, strict=True) for x in pair).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum([ORDER - 1 + len(t) for t in parts])[:-1]]).astype(np.int64)
     is_letter = letters()[np.minimum(raw, 0x3FFFF)]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
@@ -58,6 +59,28 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(is_letter, raw, np.uint32(32))[keep].astype(np.uint64), at[starts], counts[keep]
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(owners, characters, starts, which count) of the texts, taken together up to PIECE characters; longer ones piece by piece."""
+    batch, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        low = t.lower()
+        if len(low) > PIECE:
+            before = " " * (ORDER - 1)
+            for at in range(0, len(low), PIECE):
+                c, starts, counted = characters([low[at : at + PIECE]], [before])
+                before = "".join(map(chr, c[1 - ORDER :].tolist()))
+                yield [i], c, starts, counted
+            continue
+        if batch and size + len(low) > PIECE:
+            yield owners, *characters(batch)
+            batch, owners, size = [], [], 0
+        batch.append(low)
+        owners.append(i)
+        size += len(low)
+    if batch:
+        yield owners, *characters(batch)
+
+
 def hashes(c: np.ndarray) -> list[np.ndarray]:
     """For k = 1 to ORDER: the hash of the k characters that end at each place."""
     out, h = [], np.zeros(len(c), np.uint64)
@@ -87,23 +110,33 @@ class Table:
         return at, self.keys[at] == h
 
 
+def _hash(grams: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, given as rows of characters."""
+    n = grams.shape[1]
+    return sum((grams[:, n - 1 - k] * PLACES[k] for k in range(n)), np.zeros(len(grams), np.uint64))
+
+
 def _counts(texts: list[str]) -> list[dict[str, np.ndarray]]:
     """For each order: unique n-grams with count, context hash and the hash of what is left without the oldest character."""
-    c, _, counted = characters(texts)
-    h = hashes(c)
-    ctx = contexts(c, h)
+    grams, n = np.empty((0, ORDER), np.uint64), np.empty(0, np.int64)
+    for _, c, _, counted in pieces(texts):
+        where = np.flatnonzero(counted)
+        if not len(where):
+            continue
+        found = np.lib.stride_tricks.sliding_window_view(c, ORDER)[where - ORDER + 1]
+        _, first, many = np.unique(_hash(found), return_index=True, return_counts=True)
+        grams, n = np.concatenate([grams, found[first]]), np.concatenate([n, many])
+        _, first, row = np.unique(_hash(grams), return_index=True, return_inverse=True)
+        grams, n = grams[first], np.bincount(row, weights=n, minlength=len(first)).astype(np.int64)
     out: list[dict[str, np.ndarray]] = []
     for k in range(ORDER, 0, -1):
-        use = counted.copy()
-        use[: ORDER - 1] = False
-        where = np.flatnonzero(use)
-        keys, first, n = np.unique(h[k - 1][where], return_index=True, return_counts=True)
-        first = where[first]
-        if k < ORDER:  # Kneser-Ney: in how many different longer n-grams
-            n = np.unique(out[-1]["shorter"], return_counts=True)[1]
-            keys = np.unique(out[-1]["shorter"])
-            first = first[np.searchsorted(h[k - 1][first], keys)]
-        out.append({"keys": keys, "n": n, "context": ctx[k - 1][first], "shorter": h[k - 2][first] if k > 1 else np.zeros(len(first), np.uint64), "shorter_context": ctx[k - 2][first] if k > 1 else np.zeros(len(first), np.uint64)})
+        keys = _hash(grams)
+        shorter = grams[:, 1:]
+        none = np.zeros(len(grams), np.uint64)
+        out.append({"keys": keys, "n": n, "context": keys - grams[:, -1] * PLACES[0], "shorter": _hash(shorter) if k > 1 else none, "shorter_context": _hash(shorter) - grams[:, -1] * PLACES[0] if k > 1 else none})
+        # Kneser-Ney: in how many different longer n-grams
+        _, first, n = np.unique(_hash(shorter), return_index=True, return_counts=True)
+        grams = shorter[first]
     return out[::-1]
 
 
@@ -133,29 +166,20 @@ class Models:
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's log probability in every language, and its number of characters."""
         total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        batch, size = [], 0
-        pieces = ((i, t[at : at + PIECE]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), PIECE))
-        for piece in [*pieces, None]:
-            if batch and (piece is None or size + len(piece[1]) > PIECE):
-                owner = np.array([i for i, _ in batch])
-                c, starts, counted = characters([t for _, t in batch])
-                where = np.flatnonzero(counted)
-                logs = self.log_probabilities(c, where)
-                sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)])
-                ends = np.searchsorted(where, [*starts[1:], len(c)])
-                begins = np.searchsorted(where, starts)
-                np.add.at(total, owner, sums[ends] - sums[begins])
-                # a text without a letter has no character that counts
-                np.add.at(n, owner, ends - begins)
-                batch, size = [], 0
-            if piece is not None:
-                batch.append(piece)
-                size += len(piece[1])
+        for owners, c, starts, counted in pieces(texts):
+            where = np.flatnonzero(counted)
+            logs = self.log_probabilities(c, where)
+            sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)])
+            ends = np.searchsorted(where, [*starts[1:], len(c)])
+            begins = np.searchsorted(where, starts)
+            total[owners] += sums[ends] - sums[begins]
+            # a text without a letter has no character that counts
+            n[owners] += ends - begins
         return total, n
 
     def posterior(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
         entropy = -total / np.maximum(n, 1)[:, None]
-        z = -self.sharpness * np.sqrt(np.minimum(n, 10_000))[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
+        z = -self.sharpness * np.sqrt(n)[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
         return np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -214,8 +238,10 @@ def _calibrate(m: Models, kept: dict[str, list[str]], slack: float) -> None:
     samples, truth = [], []
     for j, x in enumerate(m.languages):
         for i, t in enumerate(kept[x]):
-            samples.append(t[: (20, 60, 200, 1000)[i % 4]])
-            truth.append(j)
+            size = (20, 60, 200, 1000)[i % 4]
+            at = (i * 2654435761) % max(1, len(t) - size)
+            samples += [t, t[at : at + size]]
+            truth += [j, j]
     if not samples:
         return
     total, n = m.totals(samples)
@@ -234,12 +260,12 @@ def _loss(m: Models, sharpness: float, total: np.ndarray, n: np.ndarray, truth:
     return float(-np.log(np.maximum(m.posterior(total, n)[np.arange(len(truth)), truth], 1e-12)).mean()) if len(truth) else 0.0
 
 
-def learn(docs: DataFrame, each: int = 300, chars: int = 6000) -> Models | None:
+def learn(docs: DataFrame, each: int = 300) -> Models | None:
     """Models of the languages of the documents that are not held out; None where there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     picked = sample_ids(known, "lang", each)
-    # at most ``each`` rows a language are broadcast, and their texts' beginnings brought here
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", F.substring("text", 1, chars).alias("text")).where("text is not null").collect()
+    # at most ``each`` rows a language are broadcast, and their whole texts brought here
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").where("text is not null").collect()
     texts: dict[str, list[str]] = {}
     for _, lang, text in sorted({(r["doc_id"], r["lang"], r["text"]) for r in rows}):
         texts.setdefault(lang, []).append(text)
@@ -249,7 +275,7 @@ def learn(docs: DataFrame, each: int = 300, chars: int = 6000) -> Models | None:
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected for each row of ``docs``."""
-    columns = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
+    columns = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

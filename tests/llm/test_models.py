@@ -122,11 +122,22 @@ def test_probabilities_sum_to_one():
 def test_pieces_change_nothing(monkeypatch):
     r = random.Random(4)
     m = langid.train({x: [prose(r, 30, s) for _ in range(10)] for x, s in LETTERS.items()})
-    texts = [prose(r, 400, "aeiourn"), "", prose(r, 3, "xyz")]
-    whole = m.totals(texts)
-    monkeypatch.setattr(langid, "PIECE", 500)
-    parts = m.totals(texts)
-    assert np.abs(whole[0] - parts[0]).max() < 0.05 * np.abs(whole[0]).max() and (whole[1] >= parts[1]).all()
+    texts = [prose(r, 400, "aeiourn"), "", prose(r, 3, "xyz"), prose(r, 90, "aeirn") + " 12 -- 34 " * 30 + prose(r, 50, "xyz"), "-" * 900]
+    whole, counts = m.totals(texts), langid._counts(texts)
+    for size in (7, 50, 500):
+        monkeypatch.setattr(langid, "PIECE", size)
+        parts = m.totals(texts)
+        assert np.allclose(whole[0], parts[0], atol=1e-2) and (whole[1] == parts[1]).all()
+        for a, b in zip(counts, langid._counts(texts), strict=True):
+            assert sorted(zip(a["keys"].tolist(), a["n"].tolist(), a["context"].tolist(), strict=True)) == sorted(zip(b["keys"].tolist(), b["n"].tolist(), b["context"].tolist(), strict=True))
+
+
+def test_training_reads_whole_languages(spark):
+    """The second half of a text, far behind the old bound, is learned too."""
+    r = random.Random(4)
+    rows = [(i, prose(r, 2000, LETTERS[x]) + " " + prose(r, 2000, "éèêëïî" if x == "aa" else LETTERS[x]), x) for i, x in enumerate(sorted(LETTERS) * 12)]
+    models = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.predict([prose(r, 5, "éèêëïî")])[0] == ["aa"]
 
 
 def test_language_odd_rows(odd, none):
