@@ -75,39 +75,57 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: Column, name:
     return joined.select(*[F.col(f"s.{c}") for c in df.columns], (F.col("_q") + F.coalesce(F.col("_change"), F.lit(0))).cast("long").alias("quota"))
 
 
-def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: taken / size times, its fraction decided by a seeded draw.
+def running(rows: DataFrame, group: str, order: str, tie: list[str], size: str, per_bucket: int = 50_000) -> DataFrame:
+    """``rows`` with ``start``: the sum of ``size`` of the group's rows before each, in the order of ``order`` (0 to 1), then ``tie``.
 
-    So a source's expected words are those that the mix takes of it, and documents stay whole. A document without a word is not taken.
+    Buckets of the order hold some ``per_bucket`` rows of all; a window runs inside a bucket, and the buckets' sums give where each
+    begins, so that no task sorts a whole group and the number of buckets changes no result.
     """
-    keys = ["doc_id", "source", "check"]
-    taken = mix(docs, seed=seed, keep_check=True, **options).where("taken > 0")
-    share = taken.groupBy(*keys).agg((F.sum("taken") / F.sum("size")).alias("_share"))
-    share = share.withColumn("_times", (F.floor("_share") + F.when(unit(seed + "-copy", F.col("doc_id"), F.col("check")) < F.col("_share") % 1, 1).otherwise(0)).cast("int")).where("_times > 0")
-    check = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    on = docs["doc_id"].eqNullSafe(share["doc_id"]) & docs["source"].eqNullSafe(share["source"]) & (check == share["check"])
-    return docs.join(share, on).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), share["_times"])).alias("_copy_of_row")).drop("_copy_of_row")
+    buckets = max(1, -(-rows.count() // per_bucket))
+    bucket = F.least(F.floor(F.col(order) * buckets), F.lit(buckets - 1)).cast("int").alias("bucket")
+    inside = Window.partitionBy(group, "bucket").orderBy(order, *tie)
+    placed = rows.select("*", bucket).withColumn("within", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
+    sums = rows.groupBy(group, bucket).agg(F.sum(size).alias("n"))
+    offsets = sums.withColumn("before", F.sum("n").over(Window.partitionBy(group).orderBy("bucket")) - F.col("n")).drop("n")
+    met = placed.alias("p").join(offsets.alias("o"), F.col(f"p.{group}").eqNullSafe(F.col(f"o.{group}")) & (F.col("p.bucket") == F.col("o.bucket")))
+    return met.select(*[F.col(f"p.{c}") for c in rows.columns], (F.col("within") + F.col("before")).alias("start"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256, blocks_at_least: int = 4096, shard_blocks: int = 4096, buckets: int = 1024, seed: str = "mix", keep_check: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; documents stay whole.
+
+    A document is taken once for each whole pass over it. What passes leave over in part is made up, source by source, by whole
+    documents in the order of a seeded draw over the part of them that is left over, up to the source's left-over words: so a
+    source gives the words of its integer quotas to within half a document. One without a word is not taken.
+    """
+    keys = ["doc_id", "source", "check"]
+    taken = mix(docs, seed=seed, keep_check=True, **options).where("taken > 0").select(*keys, "size", "taken")
+    taken = cut(taken.withColumn("passes", F.floor(F.col("taken") / F.col("size"))).withColumn("over", F.col("taken") - F.col("passes") * F.col("size")))
+    left = taken.groupBy("source").agg(F.sum("over").alias("room"))
+    drawn = taken.where("over > 0").withColumn("draw", unit(seed + "-copy", F.col("doc_id"), F.col("check")) * F.col("size") / F.col("over"))
+    placed = running(drawn.withColumn("order", F.col("draw") / (1 + F.col("draw"))), "source", "order", ["doc_id", "check", "size"], "size")
+    more = placed.alias("p").join(F.broadcast(left).alias("l"), F.col("p.source").eqNullSafe(F.col("l.source"))).where("2 * start + size <= 2 * room")
+    times = taken.where("passes > 0").select(*keys, "passes").unionByName(more.select(*[F.col(f"p.{k}") for k in keys], F.lit(1).cast("long").alias("passes")))
+    # rows of one id, source and text stand for one another: one of them is given as often as all are taken
+    key = lambda check: F.struct("doc_id", "source", check.alias("check")).alias("key")
+    share = times.select(key(F.col("check")), "passes").groupBy("key").agg(F.sum("passes").cast("int").alias("times"))
+    rows = docs.select(key(F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))), F.struct("*").alias("row")).groupBy("key").agg(F.first("row").alias("row"))
+    again = rows.join(share, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return again.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 64, shard_blocks: int = 4096, seed: str = "mix", keep_check: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (and the text's checksum, ``check``) for each row of ``docs``.
 
-    A block has ``block`` words, or fewer where the table would have under ``blocks_at_least`` blocks.
+    A block has ``block`` words, at any size of the table.
     """
     rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("check")))
     by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    total = int(by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
-    words = max(1, min(block, total // blocks_at_least))
-
-    # every document's first word in its source's sequence: within a hash bucket by a window, and buckets by their sums
-    placed = rows.withColumn("order", unit(seed + "-order", F.col("doc_id")))
-    placed = placed.withColumn("bucket", F.floor(F.col("order") * buckets).cast("int"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "check", "size")
-    placed = placed.withColumn("place", F.row_number().over(inside)).withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    sums = rows.groupBy("source", F.floor(unit(seed + "-order", F.col("doc_id")) * buckets).cast("int").alias("bucket")).agg(F.sum("size").alias("n"))
-    offsets = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
-    placed = placed.alias("p").join(offsets.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.bucket") == F.col("o.bucket")))
-    placed = placed.select("p.*", (F.col("within") + F.col("before")).alias("start"))
+    by_source = cut(by_source)
+    words = block
+
+    # every document's first word in its source's sequence
+    placed = running(rows.withColumn("order", unit(seed + "-order", F.col("doc_id"))), "source", "order", ["doc_id", "check", "size"], "size")
 
     # quotas: a source's last block is shorter, so its claim is its target in blocks of its own mean size
     count = F.ceil(F.col("source_size") / words)

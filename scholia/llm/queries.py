@@ -76,12 +76,12 @@ ss AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, sum(source_size) OVER () AS total FROM ss),
 o AS (SELECT *, source_size * 3.0::DOUBLE AS lim, (total - coalesce(sum(source_size * 3.0::DOUBLE) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w WINDOW b AS (ORDER BY source_size * 3.0::DOUBLE / weight, source)),
 rt AS (SELECT arg_min(rate, lim / weight) FILTER (lim >= rate * weight) AS rate FROM o),
-t AS (SELECT source, source_size, total::BIGINT AS total, least(weight * (SELECT rate FROM rt), lim) AS target, greatest(1, least(256, total::BIGINT // 4096)) AS words FROM o),
+t AS (SELECT source, source_size, total::BIGINT AS total, least(weight * (SELECT rate FROM rt), lim) AS target, 64 AS words FROM o),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN target * ceil(source_size / words) / source_size ELSE 0 END AS claim FROM t),
-q AS (SELECT source, k, claim / (2 * k + 1) AS x FROM c, range(0, 20000) r(k) WHERE k <= claim + 50),
+q AS (SELECT source, k, claim / (2 * k + 1) AS x FROM (SELECT source, claim, unnest(range(0, claim::BIGINT + 50)) AS k FROM c)),
 g AS (SELECT source, count(*) AS seats FROM (SELECT source, row_number() OVER (ORDER BY x DESC, source, k) AS n FROM q) WHERE n <= (SELECT round_even(sum(claim), 0) FROM c) GROUP BY 1),
-sh AS (SELECT source, seats, s AS shard, least(4096, b - s * 4096)::BIGINT AS n FROM (SELECT c.source, coalesce(seats, 0) AS seats, ceil(source_size / words)::BIGINT AS b FROM c LEFT JOIN g ON c.source IS NOT DISTINCT FROM g.source) x, range(0, 1000) r(s) WHERE s * 4096 < b),
-hq AS (SELECT source, shard, seats, k, n / (2 * k + 1) AS x FROM sh, range(0, 20000) r(k) WHERE k <= 3 * n + 50),
+sh AS (SELECT source, seats, s AS shard, least(4096, b - s * 4096)::BIGINT AS n FROM (SELECT c.source, coalesce(seats, 0) AS seats, ceil(source_size / words)::BIGINT AS b FROM c LEFT JOIN g ON c.source IS NOT DISTINCT FROM g.source) x, LATERAL (SELECT unnest(range(0, (b + 4095) // 4096)) AS s) r),
+hq AS (SELECT source, shard, seats, k, n / (2 * k + 1) AS x FROM (SELECT *, unnest(range(0, 3 * n + 50)) AS k FROM sh)),
 hg AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY x DESC, shard, k) AS r FROM hq) WHERE r <= seats GROUP BY 1, 2),
 bl AS (SELECT sh.source, sh.shard, n, least(coalesce(quota, 0), 3 * n) AS quota, sh.shard * 4096 + j AS block FROM sh LEFT JOIN hg ON sh.source IS NOT DISTINCT FROM hg.source AND sh.shard = hg.shard, range(0, 4096) r(j) WHERE j < n),
 ti AS (SELECT source, block, quota // n + (row_number() OVER (PARTITION BY source, shard ORDER BY ('0x' || substr(md5('mix:' || coalesce(source, 'null') || ':' || block), 1, 13))::BIGINT, block) <= quota % n)::INT AS times FROM bl),

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm import mixing as M
 
@@ -31,8 +32,6 @@ def lague(weights, seats):
 
 @pytest.mark.parametrize("seats", [0, 1, 7, 50, 333])
 def test_apportion_by_highest_quotients(spark, seats):
-    from pyspark.sql import functions as F
-
     weights = {f"s{i:02}": float((i * 37) % 101 + 0.25 * i + 1) for i in range(23)} | {"big": 5000.0}
     df = spark.createDataFrame([("g", k, v) for k, v in weights.items()], "g string, k string, w double")
     got = {r["k"]: r["quota"] for r in M.apportion(df, ["g"], "w", F.lit(seats), ["k"]).collect()}
@@ -53,7 +52,7 @@ def test_odd_rows(odd, none):
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 10 + 0.02 * want[s]
+        assert abs(taken[s] - want[s]) <= 64 + 0.02 * want[s]
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, M.mix(odd.repartition(3)).collect()), key=str)
     assert M.mix(none).count() == 0
     assert M.mixed(odd).columns == odd.columns and M.mixed(none).count() == 0
@@ -61,10 +60,18 @@ def test_odd_rows(odd, none):
 
 def test_hot_source_and_caps(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 < 1 THEN 'hot' ELSE concat('s', id % 9) END AS source", "trim(repeat('w ', cast(id % 200 AS int))) AS text")
-    got = M.mix(docs, block=16, blocks_at_least=64, shard_blocks=50)
+    got = M.mix(docs, block=16, shard_blocks=50)
     per = got.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     for r in per:
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 40 + 0.01 * r["max(target)"]
-    whole = M.mixed(docs, block=16, blocks_at_least=64)
-    words = whole.selectExpr("sum(size(filter(split(text, ' '), w -> w <> '')))").first()[0]
-    assert abs(words - got.agg({"taken": "sum"}).first()[0]) < 0.05 * words
+    whole = M.mixed(docs, block=16, shard_blocks=50)
+    words = {r["source"]: r["n"] for r in whole.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("n")).collect()}
+    for r in per:  # what the integer quotas give, to within half a document
+        assert abs(words[r["source"]] - r["sum(taken)"]) <= 100
+    assert whole.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
+
+
+def test_running_sums_do_not_depend_on_buckets(spark):
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('s', id % 2) END AS g", "(id * 7919 % 1009) / 1009.0D AS o", "id % 13 AS size")
+    a, b = (sorted(map(tuple, M.running(df, "g", "o", ["id"], "size", n).collect()), key=str) for n in (10, 10**6))
+    assert a == b and len(a) == 2000
