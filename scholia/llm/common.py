@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -18,11 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -46,20 +48,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample_ids(df: DataFrame, of: str, each: int, key: str = "doc_id", seed: int = 7, salts: int = 64) -> DataFrame:
-    """At most ``each`` rows (key, of) for each value of ``of``, the same at each run: those with the lowest seeded hash.
+def lowest(rows: DataFrame, of: str, draw: str, each: int, tie: list[str]) -> DataFrame:
+    """At most ``each`` rows for each value of ``of``: those of the lowest ``draw`` (a 64-bit hash), then of ``tie``.
 
-    Ranks are taken within ``salts`` parts of a value first, so no task reads more than ``salts * each`` rows or the value's share of
-    one part, though the value may hold most rows.
+    Counts by the leading 12 bits of the draw give the bits up to which a value's rows can be among them, so that the last window
+    reads little more than ``each`` rows of a value, though the value may hold most of all rows. The values have to be few.
     """
-    from pyspark.sql import Window
-
-    draw = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.select(key, of).where(F.col(of).isNotNull() & F.col(key).isNotNull()).withColumn("_d", draw).withColumn("_s", F.pmod(F.col("_d"), F.lit(salts)))
-    part = Window.partitionBy(of, "_s").orderBy("_d", key)
-    whole = Window.partitionBy(of).orderBy("_d", key)
-    few = rows.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= each)
-    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= each).select(key, of)
+    lead = F.shiftright(draw, 52)
+    counts = rows.groupBy(of, lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(of).orderBy("_lead")) - F.col("_n")
+    last = counts.withColumn("_before", before).where(F.col("_before") < each).groupBy(F.col(of).alias("_of")).agg(F.max("_lead").alias("_last"))
+    few = rows.join(F.broadcast(last), F.col(of) == F.col("_of")).where(lead <= F.col("_last")).drop("_of", "_last")
+    rank = F.row_number().over(Window.partitionBy(of).orderBy(draw, *tie))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")
+
+
+def sample_ids(df: DataFrame, of: str, each: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
+    """At most ``each`` rows (key, of) for each value of ``of``, the same at each run: those with the lowest seeded hash."""
+    rows = df.select(key, of).where(F.col(of).isNotNull() & F.col(key).isNotNull()).withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
+    return lowest(rows, of, "_draw", each, [key]).select(key, of)
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: Column, total: int, most: int, per: int = 1000) -> DataFrame:
+    """``rows`` with the columns of the one row that ``values`` has for their ``key``; ``values.n`` says for how many rows, ``most`` at most.
+
+    Keys of more than a thousandth of the ``total`` rows (so fewer than a thousand keys, which are broadcast) are salted: their rows
+    are spread over parts of some ``per`` rows by ``spread``, and their values repeated for each part. Without any it is a plain join.
+    """
+    limit = max(per, total // 1000)
+    if most <= limit:
+        return rows.join(values.drop("n"), key)
+    hot = values.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / per).cast("int").alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
+    repeated = values.drop("n").join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return salted.join(repeated, [key, "_part"]).drop("_part")
 
 
 def ship(spark: SparkSession, value: object):

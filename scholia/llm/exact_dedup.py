@@ -16,7 +16,9 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,11 +102,14 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, per_salt: int = 1
     )
     checked = cut(checked)
     if not checked.where(~F.col("same")).isEmpty():
-        checked = _apart(checked, docs)
-    first = F.row_number().over(Window.partitionBy("digest", "keep_id", "doc_id").orderBy(F.lit(1)))
-    same_id = checked.where(_identity(F.col("doc_id")) == F.col("keep")).withColumn("kept", first == 1)
-    rest = checked.where(~(_identity(F.col("doc_id")) == F.col("keep"))).withColumn("kept", F.lit(False))
-    return same_id.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", "digest")
+        checked = _apart(checked, docs.drop("file"))
+    # one of the rows that have the id that stays: found by partial aggregates and joined by its number, however many there are
+    checked = cut(checked.withColumn("itself", _identity(F.col("doc_id")) == F.col("keep")).withColumn("at", F.monotonically_increasing_id()))
+    first = checked.where("itself").groupBy("digest", "keep").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("first"))
+    same = checked.where("itself").join(first, "at", "left").withColumn("kept", F.coalesce("first", F.lit(False)))
+    rest = checked.where("not itself").withColumn("kept", F.lit(False))
+    out = ["doc_id", "keep_id", "group_size", "kept", "digest"]
+    return same.select(*out).unionByName(rest.select(*out))
 
 
 def _apart(checked: DataFrame, docs: DataFrame) -> DataFrame:

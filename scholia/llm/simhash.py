@@ -4,7 +4,8 @@ Fingerprints: each bit is the majority over the XXH64 of a document's word shing
 differing bits. Documents with one fingerprint are one node, so copies never multiply.
 
 Links are found exactly. Cut into ``blocks`` parts, fingerprints within ``radius`` bits agree on at least ``blocks - radius``
-parts, so all links lie inside the buckets of equal values of some such choice of parts. A bucket is compared by tiles: numpy
+parts, so all links lie inside the buckets of equal values of some such choice of parts. The more fingerprints there are, the more
+parts are taken (``parts``), so that buckets stay small: the links are the same with any number. A bucket is compared by tiles: numpy
 exclusive-or and bit counts of one tile against another, tile pairs being skipped whose population counts differ by more than
 the radius. A bucket of at most ``tile`` fingerprints is one tile; a larger one is cut by population count, and by hash within
 a count, and each pair of its tiles is a job of its own, so no task holds a bucket. A job gives a spanning forest of its
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scholia.llm.common import cut, hex16
+from scholia.llm.common import cut, hex16, salted_join
 
 SEED = 42
 
@@ -64,32 +66,31 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             found = np.fromiter((fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(each, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, strip: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root) of a spanning forest of the links within ``a``, or between ``a`` and ``b``."""
-    if b is None and len(a) <= 512:  # the usual small bucket: one look shows that there is nothing
-        near = np.bitwise_count(a[:, None] ^ a[None, :]) <= radius
-        if int(near.sum()) == len(a):
-            return a[:0], a[:0]
-    sides = [a, a] if b is None else [a, b]
-    left = [np.ones(len(a), bool), np.ones(len(sides[1]), bool)] if b is not None else [np.ones(len(a), bool)] * 2
+    other = a if b is None else b
+    # strips of the tile pair: rows without a neighbour, most of all, are done
+    near = np.concatenate([(np.bitwise_count(a[i : i + strip, None] ^ other) <= radius).sum(axis=1) for i in range(0, len(a), strip)])
+    sides = [a, other]
+    left = [np.ones(len(a), bool)] * 2 if b is None else [np.ones(len(a), bool), np.ones(len(b), bool)]
     members, roots = [], []
-    for i in range(len(a)):
+    for i in np.flatnonzero(near > (b is None)).tolist():
         if not left[0][i]:
             continue
         left[0][i] = False
         todo = [(0, i)]
         while todo:
             side, k = todo.pop()
-            other = 1 - side
-            rest = np.flatnonzero(left[other])
-            hit = rest[np.bitwise_count(sides[other][rest] ^ sides[side][k]) <= radius]
+            far = 1 - side
+            rest = np.flatnonzero(left[far])
+            hit = rest[np.bitwise_count(sides[far][rest] ^ sides[side][k]) <= radius]
             if len(hit):
-                left[other][hit] = False
-                todo.extend((other, h) for h in hit.tolist())
-                members.append(sides[other][hit])
+                left[far][hit] = False
+                todo.extend((far, h) for h in hit.tolist())
+                members.append(sides[far][hit])
                 roots.append(np.full(len(hit), a[i]))
     return (np.concatenate(members), np.concatenate(roots)) if members else (a[:0], a[:0])
 
@@ -129,6 +130,14 @@ def _buckets(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*out)
 
 
+def parts(fingerprints_: int, radius: int, bucket: int = 4096) -> int:
+    """The fewest parts of 64 bits for which an average bucket of so many fingerprints has at most ``bucket``."""
+    blocks = radius + 1
+    while blocks < 16 and fingerprints_ >> (64 // blocks) * (blocks - radius) > bucket:
+        blocks += 1
+    return blocks
+
+
 def links(fps: DataFrame, radius: int = 4, blocks: int = 5, tile: int = 4096) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fps.fp`` just as all links within ``radius`` bits do."""
     placed = fps.select("fp", F.bit_count("fp").alias("ones"), F.explode(_buckets(F.col("fp"), radius, blocks)).alias("x")).select("fp", "ones", "x.choice", "x.bucket")
@@ -163,35 +172,43 @@ def components(edges: DataFrame) -> DataFrame:
     and the rounds, of which there are about log squared of the longest chain, end when the edges stay the same.
     """
 
-    def smallest(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    def with_smallest(e: DataFrame, total: int, most: int) -> DataFrame:
+        least = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        return salted_join(e, least, "u", F.col("v"), total, most)
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        hung = down.join(smallest(down), "u")
-        small = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(hung.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = cut(small)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # the edges in short, and the largest degree, which bounds that of the second join too
+        state = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first()
         if state == before:
             break
         before = state
+        large = with_smallest(both, state[0], state[2]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        hung = with_smallest(down, state[0], state[2])
+        small = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(hung.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        edges = cut(small)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 5) -> DataFrame:
+def components_of(docs: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``docs`` (which has ``node``) with component_id, the least id of the nodes of one root; ``nodes``: node, least, n documents."""
+    grouped = nodes.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("all"), F.max("n").alias("largest"))
+    sizes = least.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.max("n"), F.sum("all"), F.max("largest"))]).first()
+    of = cut(salted_join(grouped.select(node, "root", F.col("n").alias("_rows")), least.drop("all", "largest"), "root", F.col(node), sizes[0], sizes[1]).select(node, "component_id", F.col("_rows").alias("n")))
+    return salted_join(docs, of, node, F.col("doc_id"), sizes[2], sizes[3])
+
+
+def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of ``docs``."""
     prints = cut(fingerprints(docs, words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), radius, blocks))
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(grouped.join(least, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct.select("fp"), radius, blocks or parts(distinct.count(), radius)))
+    return components_of(prints, distinct, roots, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

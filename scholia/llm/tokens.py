@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.llm.common import ship, shipped
 
@@ -188,4 +189,4 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = 4 <
             arrays = [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (words, tokens))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, n_bytes long, n_words long, n_tokens long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_words", "n_tokens"))]))

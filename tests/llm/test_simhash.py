@@ -76,3 +76,13 @@ def test_forest_between_tiles():
 def test_long_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r["root"] for r in S.components(edges).collect()} == {0}
+
+
+def test_hot_centre(spark):
+    """A star of more leaves than a part holds: its joins are salted."""
+    edges = spark.range(1, 2500).selectExpr("id AS a", "IF(id % 3 = 0, 1, 2) AS b")
+    assert {r["root"] for r in S.components(edges.unionByName(spark.createDataFrame([(1, 2)], "a long, b long"))).collect()} == {1}
+
+
+def test_parts_grow_with_the_fingerprints():
+    assert [S.parts(n, 4) for n in (0, 1000, 10**7, 10**9, 5 * 10**10)] == [5, 5, 5, 6, 7]
