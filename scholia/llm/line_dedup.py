@@ -54,7 +54,12 @@ def double(at: DataFrame, k: int) -> DataFrame:
     follows = F.lead("seq", step).over(doc) == F.col("seq") + step
     paired = at.withColumn("second", F.when(follows, F.lead(here, step).over(doc)))
     pairs = paired.where(f"{here} is not null and second is not null").groupBy(F.col(here).alias("a"), F.col("second").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = pairs.withColumn("r", F.col("a") + F.sum("n").over(Window.partitionBy("a").orderBy("b")) - F.col("n")).where("n > 1").select("a", "b", "r")
+    # a line that very many others follow has as many pairs: they are numbered within ranges of b, and the ranges' sums give where each begins
+    pairs = pairs.withColumn("range", F.shiftright("b", 20))
+    inside = F.sum("n").over(Window.partitionBy("a", "range").orderBy("b")) - F.col("n")
+    sums = pairs.groupBy("a", "range").agg(F.sum("n").alias("all"))
+    before = sums.select("a", "range", (F.sum("all").over(Window.partitionBy("a").orderBy("range")) - F.col("all")).alias("before"))
+    ranks = pairs.withColumn("inside", inside).where("n > 1").join(before, ["a", "range"]).select("a", "b", (F.col("a") + F.col("before") + F.col("inside")).alias("r"))
     joined = paired.join(ranks, (F.col(here) == F.col("a")) & (F.col("second") == F.col("b")), "left")
     return joined.withColumnRenamed("r", f"r{k + 1}").drop("a", "b", "second")
 
@@ -99,7 +104,7 @@ def copies(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """``docs`` with the copies' lines deleted from ``text``, and n_lines and n_removed (of the text as it was)."""
+    """``docs`` with the copies' lines deleted from ``text``, and n_lines and n_removed (of the text as it was; columns of ``docs`` of these names are replaced)."""
     gone = copies(docs, min_words).groupBy("d", "t").agg(F.collect_list("line_no").alias("gone"))
     # a row travels as one struct, so that its columns' names clash with none here
     rows = docs.select(F.struct("*").alias("row"), *_keys(docs)).alias("rows")
