@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from scholia.llm.common import ship, shipped
 
-REPETITIONS, STEPS, SAMPLED, OPEN, VOTES, EARLY, CELL, BAND, SHORT = 8, 36, 8, 0.25, 3, 5, 16, 0.3, 32
+REPETITIONS, STEPS, SAMPLED, OPEN, VOTES, EARLY, CELL, BAND, SHORT = 8, 36, 8, 0.25, 3, 4, 16, 0.3, 32
 PIECE = 1 << 18
 #: Walks that are taken together, so that they stay in a core's cache.
 TOGETHER = 1 << 15

@@ -95,14 +95,14 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, per_salt: int = 1
     salted = docs.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), spread).cast("int"), F.lit(0))).drop("salts")
     states = found.join(F.broadcast(hot), "digest", "left").select("digest", "keep", "locator", "copies", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
     rows = salted.join(states, ["digest", "salt"])
-    # put so that the planner sees no further join key: both uses of ``rows`` then read one exchange of the texts
+    # put so that the planner sees no further join key, and with the same columns below: both uses of ``rows`` then read one exchange of the texts
     same_id = F.when(F.col("doc_id").isNull(), F.col("keep.missing")).otherwise(~F.col("keep.missing") & (F.least("doc_id", "keep.id") == F.greatest("doc_id", "keep.id")))
     there = F.least("file", "locator") == F.greatest("file", "locator")
     stays = rows.where((F.col("copies") > 1) & same_id & there).groupBy("digest", "salt").agg(F.first("body").alias("kept_body"))
     stays = stays.join(F.broadcast(hot), "digest", "left").groupBy("digest", "salts").agg(F.first("kept_body").alias("kept_body"))
     stays = stays.select("digest", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), "kept_body")
     checked = rows.join(stays, ["digest", "salt"], "left").select(
-        "doc_id", "digest", F.col("keep.id").alias("keep_id"), F.col("copies").alias("group_size"), F.coalesce(F.col("body") == F.col("kept_body"), F.col("copies") == 1).alias("same"), "keep"
+        "doc_id", "digest", F.col("keep.id").alias("keep_id"), F.col("copies").alias("group_size"), F.coalesce(F.col("body") == F.col("kept_body"), F.col("copies") == 1).alias("same"), "keep", "file", "locator"
     )
     checked = cut(checked)
     if not checked.where(~F.col("same")).isEmpty():
@@ -121,5 +121,5 @@ def _apart(checked: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = checked.where(~F.col("same")).select("digest").distinct()
     bodies = docs.join(mixed, "digest", "left_semi")
     groups = bodies.groupBy("digest", "body").agg(F.min(_identity(F.col("doc_id"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    again = bodies.join(groups, ["digest", "body"]).select("doc_id", "digest", F.col("keep.id").alias("keep_id"), "group_size", F.lit(True).alias("same"), "keep")
+    again = bodies.join(groups, ["digest", "body"]).select("doc_id", "digest", F.col("keep.id").alias("keep_id"), "group_size", F.lit(True).alias("same"), "keep", F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("locator"))
     return checked.join(mixed, "digest", "left_anti").unionByName(again)
