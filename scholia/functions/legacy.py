@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 TCVN3 = "µ¸¶·¹¨»¾¼½Æ©ÇÊÈÉËÌÐÍÎÏªÒÕÓÔÖ×ÝØÜÞßáàãä«åèæçé¬êíëìîïóñòô­õøö÷ùúýûüþ®§"
 UNICODE = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđĐ"
 # Characters of the code that plain text seldom has, and letters that only Unicode text has.
-DISTINCT = r"[µ¸¶·¹¨»¾¼½Æ©ÇÉËÌÐÍÎÏªÒÕÓÔÖ×ØÜÞß«¬\x{AD}÷®§]"
+DISTINCT = r"[µ¸¶·¹¨»¾¼½Æ©ÇÈÉËÌÐÍÎÏªÒÕÓÔÖ×ØÜÞß«¬\x{AD}÷®§]"
 MODERN = r"[đĐơưƠƯ\x{1EA0}-\x{1EF9}]"
 
 
@@ -79,10 +79,12 @@ def decode_vni(text: Column) -> Column:
     return decode(text)
 
 
+# Frequent words of the two-character code, and pairs of a vowel and a tone letter.
+VNI_WORDS = r"\b(laø|vaø|meänh|ñeà|coù|ñuùng|cuûa|khoâng|moät|ngöôøi|ñöôïc|nhöng|toaùn|hoïc|ñònh|nghóa|khaúng|phaûi|bieát|caùc|trong|ñaõ|seõ|ñeán)\b"
+VNI_PAIRS = r"(?:ñ|öô|[aeouyöô][ùøûõïäâëéèúü]|o[áàảãạâä]|e[áàảãạêë])"
+
+
 def is_vni(text: Column) -> Column:
     """By the first 4,000 characters: two frequent words of the code, or its letters with four tone pairs, and hardly any modern letter."""
     sample = F.substring(text, 1, 4000)
-    # Frequent words, and pairs of vowel and tone letter.
-    words = r"(?iu)(?<![\p{L}])(laø|vaø|coù|cuûa|khoâng|moät|ngöôøi|ñöôïc|nhöng|hoïc|phaûi|bieát|caùc|ñaõ|seõ|ñeán)(?![\p{L}])"
-    pairs = r"(?iu)(?:ñ|öô|[aeouyöô][ùøûõïäâëéèúü])"
-    return (F.regexp_count(sample, F.lit(MODERN)) <= 2) & ((F.regexp_count(sample, F.lit(words)) >= 2) | (sample.rlike("[ñÑöÖ]") & (F.regexp_count(sample, F.lit(pairs)) >= 4)))
+    return (F.regexp_count(sample, F.lit(MODERN)) <= 2) & ((F.regexp_count(sample, F.lit("(?iU)" + VNI_WORDS)) >= 2) | (sample.rlike("[ñÑöÖ]") & (F.regexp_count(sample, F.lit("(?iu)" + VNI_PAIRS)) >= 4)))

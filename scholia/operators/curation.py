@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.functions.text import hash_mod
 
@@ -36,17 +40,30 @@ def leaking_groups(rows: DataFrame, group: str = "group", part: str = "partition
     return rows.groupBy(group).agg(F.countDistinct(part).alias("partitions")).where("partitions > 1")
 
 
+def places(rows: DataFrame, group: str, key: str, width: int = 65_536) -> DataFrame:
+    """``rows`` with ``_i``, the row's place in its group from 0, and ``_n``, the group's rows; ``key`` an integer.
+
+    Ranges of ``width`` keys are numbered apart; the ranges' counts give where each begins, so that no task sorts a whole group.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(key) / width))
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    of = Window.partitionBy(group)
+    counts = counts.withColumn("_before", F.sum("_c").over(of.orderBy("_range")) - F.col("_c")).withColumn("_n", F.sum("_c").over(of)).withColumnsRenamed({group: "_g", "_range": "_r"}).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(key))
+    met = ranged.withColumn("_p", inside).join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return met.withColumn("_i", F.col("_before") + F.col("_p") - 1).drop("_range", "_r", "_g", "_p", "_before")
+
+
 def stride(rows: DataFrame, group: str, key: str, cap: int) -> DataFrame:
     """At most ``cap`` rows a group, evenly spaced in its order: rows[::max(1, n // cap)][:cap]."""
-    w = Window.partitionBy(group)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    placed = places(rows, group, key)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / cap))
     return placed.where((F.col("_i") % step == 0) & (F.col("_i") < step * cap)).withColumn("place", (F.col("_i") / step).cast("int")).drop("_i", "_n")
 
 
 def round_robin(rows: DataFrame, group: str, key: str, limit: int) -> DataFrame:
-    """The groups' rows in turn: first of each group, then second, and so on."""
-    inside = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    """The groups' rows in turn: first of each group, then second, and so on. No turn beyond ``limit`` can be among them."""
+    inside = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("turn") <= limit)
     best = inside.orderBy("turn", group).limit(limit)
     return best.withColumn("position", F.row_number().over(Window.orderBy("turn", group)))
 
@@ -67,10 +84,25 @@ def cross_pairs(rows: DataFrame, theme: str, language: str, file: str, key: str)
 
 
 def holding(rows: DataFrame, items: list[tuple[int, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, item_id of rows that hold an item word for word. Items are literals of the scan: no join."""
-    wanted = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(t).alias("item")) for i, t in items])
-    found = rows.select(key, F.explode(F.filter(wanted, lambda x: F.contains(F.col(text), x["item"]))).alias("x"))
-    return found.select(key, F.col("x.item_id").cast("long").alias("item_id"))
+    """key, item_id of rows that hold an item word for word. The items are a stated set; each task builds one automaton of them all, so a text is read once."""
+    by_text: dict[str, list[int]] = {}
+    for i, t in items:
+        if t:
+            by_text.setdefault(t, []).append(i)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t, ids in by_text.items():
+            automaton.add_word(t, ids)
+        automaton.make_automaton()
+        for b in batches:
+            held = [sorted({i for _, ids in automaton.iter(t.as_py()) for i in ids}) if by_text and t.is_valid else [] for t in b.column(text)]
+            which = [n for n, ids in enumerate(held) for _ in ids]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(which, pa.int64())), pa.array([i for ids in held for i in ids], pa.int64())], [key, "item_id"])
+
+    return rows.select(key, text).mapInArrow(each, T.StructType([rows.schema[key], T.StructField("item_id", T.LongType())]))
 
 
 def ungrounded(answer: Column, source: Column) -> Column:

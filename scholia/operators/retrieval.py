@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import matching, tokens
+from scholia.functions.cleaning import let
+from scholia.functions.definitions import role
+from scholia.functions.query import any_of
+from scholia.functions.text import is_contents, matching, tokens
 
+# Words of a definition in a passage that is tied to no concept.
+CUES = ["định nghĩa", "khái niệm", "được định nghĩa là", "là giới hạn", "công thức", "tính chất", "nguyên lý"]
 K1, B = 1.2, 0.75
 
 
@@ -82,22 +87,40 @@ def contains_any(chunks: DataFrame, words: list[str], k: int, key: str = "doc_id
 
 def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, score of vectors of the query's length and of non-zero norm, in doubles."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == len(query))).select(key, v.alias("v"))
-    dot = F.aggregate(F.zip_with("v", q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    size = sum(float(x) * float(x) for x in query) ** 0.5
-    return rows.select(key, dot.alias("dot"), norm.alias("norm")).where((F.col("norm") > 0) & ~F.isnan("dot")).select(key, F.round(F.col("dot") / (F.col("norm") * size), 6).alias("score")) if size else rows.limit(0).select(key, F.lit(0.0).alias("score"))
+    queries = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, query array<double>")
+    return cosine_all(vectors, queries, key, vector).select(key, "score")
 
 
-def fuse(lists: list[tuple[DataFrame, float]], key: str = "doc_id", offset: int = 60) -> DataFrame:
+def cosine_all(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score of every query (query_id, query) with every vector of its length; zero norms and nulls have none.
+
+    The queries are a stated set, which is broadcast: callers with very many take them in blocks.
+    """
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    asked = queries.select("query_id", double(F.col("query")).alias("q")).withColumn("q_norm", size(F.col("q"))).where("q_norm > 0")
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, double(F.col(vector)).alias("v")).withColumn("v_norm", size(F.col("v"))).where("v_norm > 0")
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    met = rows.join(F.broadcast(asked), F.size("v") == F.size("q")).select("query_id", key, (dot / (F.col("v_norm") * F.col("q_norm"))).alias("score"))
+    return met.where(~F.isnan("score")).select("query_id", key, F.round("score", 6).alias("score"))
+
+
+def best_for_each(scored: DataFrame, k: int, key: str, parts: int = 64) -> DataFrame:
+    """Each query's best ``k`` with ``rank``: the best of each of ``parts`` parts first, so no task ranks a query's every row."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    few = scored.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(F.desc("score"), key))).where(F.col("_r") <= k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return few.withColumn("rank", rank).where(F.col("rank") <= k).drop("_p", "_r")
+
+
+def fuse(lists: list[tuple[DataFrame, float]], key: str | list[str] = "doc_id", offset: int = 60) -> DataFrame:
     """Reciprocal rank fusion: each list's weight / (offset + rank), summed for each key."""
+    keys = [key] if isinstance(key, str) else key
     rows = None
     for ranking, weight in lists:
-        one = ranking.select(key, (F.lit(float(weight)) / (F.lit(float(offset)) + F.col("rank"))).alias("part"))
+        one = ranking.select(*keys, (F.lit(float(weight)) / (F.lit(float(offset)) + F.col("rank"))).alias("part"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy(key).agg(F.round(F.sum("part"), 9).alias("score"))
+    return rows.groupBy(*keys).agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def dedupe_text(hits: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,13 +130,76 @@ def dedupe_text(hits: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def diversify(hits: DataFrame, group: str, cap: int, k: int, key: str = "doc_id") -> DataFrame:
-    """The best k hits with ``cap`` a group at most, filled up from the rest in order if that leaves room."""
+    """The best k hits with ``cap`` a group at most, filled up from the rest in order if that leaves room.
+
+    Only a group's best k can be among them: that bound on the rank lets the planner keep k rows a group before the shuffle.
+    """
     inside = Window.partitionBy(group).orderBy(F.desc("score"), key)
-    placed = hits.withColumn("place", F.row_number().over(inside)).withColumn("spare", F.col("place") > cap)
+    placed = hits.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= k).withColumn("spare", F.col("place") > cap)
     best = placed.orderBy("spare", F.desc("score"), key).limit(k)
     return best.withColumn("position", F.row_number().over(Window.orderBy("spare", F.desc("score"), key)))
 
 
+def content_relevance(text: Column, concepts: list[str], contents: Column | None = None) -> Column:
+    """What a passage's form adds to its rank: contents pages and catalogues less, definitions and explanations more."""
+    low = F.lower(text)
+    names = any_of(low, [c.lower() for c in concepts]) if concepts else F.lit(True)
+    cue = names & any_of(low, CUES)
+    form = let(role(text, concepts), lambda r: F.when(r["attached"], F.when(r["explained"], 0.6).otherwise(0.4)).when(r["catalogue"], -0.5).when(cue, 0.15).otherwise(0.0))
+    return F.when(is_contents(text) if contents is None else contents, -0.8).otherwise(0.0) + form + F.when((F.length(text) > 100) & text.rlike(r"[.!?;\n]"), 0.1).otherwise(0.0)
+
+
+def by_content(fused: DataFrame, concepts: list[str], text: str = "text", keyword_only: bool = False) -> DataFrame:
+    """Fused hits with ``hybrid``: the fused score times 1 + relevance (no less than 0.2); of keyword hits alone the score plus ten times it."""
+    c = content_relevance(F.col(text), concepts)
+    out = F.col("score") + c * 10.0 if keyword_only else F.col("score") * (1.0 + F.greatest(F.lit(-0.8), c))
+    return fused.withColumn("hybrid", F.round(out, 9))
+
+
+def one_each(hits: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first hit of each key (file, page, chunk): an aggregate, so repeats are merged before the shuffle."""
+    rest = [c for c in hits.columns if c not in keys and c != order]
+    return hits.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("x")).select(*keys, f"x.{order}", *[f"x.{c}" for c in rest])
+
+
+# What a page of a file is called, by extension.
+UNITS = [("docx|txt|md|markdown", "Đoạn"), ("png|jpg|jpeg", "Hình")]
+
+
+def label(title: Column, file: Column, page: Column) -> Column:
+    """A citation's label: [title, unit page]."""
+    unit = F.lit("Trang")
+    for endings, name in UNITS:
+        unit = F.when(F.lower(file).rlike(rf"\.(?:{endings})$"), name).otherwise(unit)
+    return F.concat(F.lit("["), title, F.lit(", "), unit, F.lit(" "), page.cast("string"), F.lit("]"))
+
+
+def page_passages(chunks: DataFrame, doc: object, page: int, limit: int = 12, doc_column: str = "doc_id", page_column: str = "page_num", order: tuple[str, ...] = ("chunk_index",), text: str = "text") -> DataFrame:
+    """The first chunks of one page that hold anything: the filter comes before the limit."""
+    return chunks.where((F.col(doc_column) == doc) & (F.col(page_column) == page)).orderBy(*order).limit(limit).where(F.trim(text) != "")
+
+
+def relevant(hits: DataFrame, terms: list[str], group: str, text: str = "text", cosine_column: str = "cosine", least: float = 0.52) -> DataFrame:
+    """group, covered, relevant: whether a question's hits hold three quarters of its terms together, or one is near enough by vector."""
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+    held = F.transform(wanted, lambda t: F.array_contains(tokens(F.col(text)), t).cast("int"))
+    maxima = [F.max(F.get("_h", i)).alias(f"_t{i}") for i in range(len(set(terms)))]
+    per = hits.select(group, cosine_column, held.alias("_h")).groupBy(group).agg(F.max(F.coalesce(cosine_column, F.lit(0.0))).alias("_c"), *maxima)
+    share = sum((F.col(f"_t{i}") for i in range(len(set(terms)))), F.lit(0)) / float(max(1, len(set(terms))))
+    return per.select(group, F.round(share, 6).alias("covered"), ((share >= 0.75) | (F.col("_c") >= least)).alias("relevant"))
+
+
+def reason(found: Column, page_scope: Column, generic: Column, sides: Column, relevant_: Column) -> Column:
+    """Why a question gets no answer, by the first rule that holds; null where it gets one. ``sides``: how many of two compared concepts are held, null for no comparison."""
+    return (
+        F.when(~found & page_scope, "page_empty")
+        .when(~found, "no_results")
+        .when(page_scope, F.when(~generic & ~relevant_, "page_scope_too_narrow"))
+        .when(sides.isNotNull(), F.when(sides == 0, "low_relevance").when(sides == 1, "partial_evidence"))
+        .when(~relevant_, "low_relevance")
+    )
+
+
 def interleave(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
     """Two ranked lists in turn, each key where it comes first: key, position."""
     rows = left.select(key, "rank", F.lit(0).alias("side")).unionByName(right.select(key, "rank", F.lit(1).alias("side")))

@@ -96,10 +96,17 @@ def set_summary(sessions: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ordered_digest(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """One digest for each group: of its ordered contents' digests, so that texts never meet in one row."""
-    each = rows.select(group, F.struct(order, F.sha2(F.col(text).cast("binary"), 256).alias("h")).alias("x"))
-    return each.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("x"))["h"], "\n"), 256).alias("digest"))
+def ordered_digest(rows: DataFrame, group: str, order: str, text: str, width: int = 65_536) -> DataFrame:
+    """One digest for each group: of its ordered contents' digests; ``order`` an integer.
+
+    Where a group reaches over several ranges of ``width``, each range has its digest and the group's is that of its ranges', so
+    that no row holds more than a range, or one number for each.
+    """
+    each = rows.select(group, F.floor(F.col(order) / width).alias("_range"), F.struct(order, F.sha2(F.col(text).cast("binary"), 256).alias("h")).alias("x"))
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c))["h"], "\n"), 256)
+    ranges = each.groupBy(group, "_range").agg(joined("x").alias("h"))
+    whole = ranges.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("one"), joined(F.struct("_range", "h")).alias("all"))
+    return whole.select(group, F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("all")).alias("digest"))
 
 
 def cards(pages: DataFrame, key: str, text: str, limit: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def session_list(turns: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role", limit: int = 20, offset: int = 0) -> DataFrame:
-    """Sessions with a turn: turns, last turn, title (first question, 45 characters at a word's end); a page of them, newest first."""
+    """Sessions with a turn: turns, last turn, title (first question, 45 characters at a word's end); a page of them, those of most turns first."""
     question = F.min(F.when(F.col(role) == "user", F.struct(F.col(turn), F.col(text)))).alias("q")
     per = turns.groupBy(session).agg(F.count(F.lit(1)).alias("turns"), F.max(turn).alias("last_turn"), question)
     page = per.where("turns > 0").orderBy(F.desc("turns"), session).offset(max(0, offset)).limit(min(max(1, limit), 200))
@@ -23,8 +23,7 @@ def title(question: Column) -> Column:
 
 def session_search(turns: DataFrame, words: str, session: str = "conv_id", text: str = "text") -> DataFrame:
     """Sessions of which some turn contains the words, whatever the case."""
-    hits = turns.where(F.contains(F.lower(F.col(text)), F.lit(words.lower()))).select(session)
-    return turns.select(session).distinct().join(hits, session, "left_semi")
+    return turns.where(F.contains(F.lower(F.col(text)), F.lit(words.lower()))).select(session).distinct()
 
 
 def turn_pairs(turns: DataFrame, session: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
@@ -45,10 +44,10 @@ def recall(turns: DataFrame, words: list[str], recent: int = 4, older: int = 2,
 
 
 def even_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
-    """k rows of each group, evenly spaced from first to last (ties of rounding to even); groups of k rows or fewer whole."""
+    """k rows of each group, evenly spaced from first to last (ties of rounding to even); groups of k rows or fewer whole; one row is the first."""
     w = Window.partitionBy(group)
     placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(float(k - 1))).cast("int"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(float(max(1, k - 1)))).cast("int"))
     return placed.where((F.col("_n") <= k) | F.array_contains(picks, F.col("_i"))).drop("_i", "_n")
 
 
@@ -105,3 +104,45 @@ def match_answers(exercises: DataFrame, answers: DataFrame, group: str, number:
     met = count(exercises, "asked").join(count(answers, "answered"), [group, number], "left")
     sure = (F.col("asked") == 1) & (F.col("answered") == 1)
     return met.select(group, number, F.when(sure, F.col("answered_text")).alias("answer"), F.when(sure, "matched").otherwise("missing").alias("status"))
+
+
+def upsert_documents(stored: DataFrame, arriving: DataFrame, key: str, version: list[str], at: Column) -> DataFrame:
+    """Stored documents with the arriving ones (key, version columns) put in: a known key keeps its doc_id, a new one gets the next.
+
+    New ids are given by ranges of the key's hash and their counts, so that no task numbers all new documents.
+    """
+    known = stored.select(key, "doc_id")
+    met = arriving.join(known, key, "left")
+    old = met.where("doc_id is not null").select("doc_id", key, *version, at.alias("updated_at"))
+    last = stored.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("last"))
+    fresh = met.where("doc_id is null").withColumn("_b", F.pmod(F.xxhash64(key), F.lit(4096)))
+    before = fresh.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    new = fresh.withColumn("_p", place).join(F.broadcast(before), "_b").crossJoin(F.broadcast(last))
+    new = new.select((F.col("last") + F.col("_before") + F.col("_p")).alias("doc_id"), key, *version, at.alias("updated_at"))
+    left = stored.join(arriving.select(key), key, "left_anti").select("doc_id", key, *version, "updated_at")
+    return left.unionByName(old).unionByName(new)
+
+
+def append_revision(log: DataFrame, arriving: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The log with each arriving row as its key's next revision: nothing is ever replaced."""
+    last = log.groupBy(key).agg(F.max("revision").alias("_last"))
+    added = arriving.join(last, key, "left").select(key, (F.coalesce("_last", F.lit(0)) + 1).alias("revision"), *columns)
+    return log.select(key, "revision", *columns).unionByName(added)
+
+
+def migrated(stored: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
+    """Legacy rows under the id legacy_<id> that are not stored yet: running it again adds nothing."""
+    named = legacy.withColumn(key, F.concat(F.lit("legacy_"), F.col(key).cast("string")))
+    return stored.unionByName(named.join(stored.select(key), key, "left_anti").select(*stored.columns))
+
+
+def last_turns(turns: DataFrame, n: int = 6, session: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """The newest ``n`` turns of each session."""
+    return turns.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(turn)))).where(F.col("_n") <= n).drop("_n")
+
+
+def recent_sources(hits: DataFrame, source: Column, order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` distinct sources in the order they were first seen: a minimum for each, then a bounded sort."""
+    first = hits.groupBy(source.alias("source")).agg(F.min(F.struct(*order)).alias("seen"))
+    return first.orderBy("seen").limit(limit).withColumn("position", F.row_number().over(Window.orderBy("seen"))).select("source", "position")

@@ -14,6 +14,14 @@ from scholia.operators.stores import first_occurrence
 from scholia.sources.tables import table
 
 
+#: Short questions of each kind that queries put in the place of some turns.
+SHORT = ["Trợ giúp!", "hello", "Cám ơn…", "tư vấn", "tại sao", "Công thức này là gì?", "cho ví dụ cụ thể"]
+
+
+#: Sentences of each kind that the guard knows, and some that it must let pass.
+DANGER = ["tôi muốn uống thuốc ngủ", "I want to kill  myself", "cách nào để chết", "hãy đóng vai bác sĩ", "tôi có bị trầm cảm không", "hãy làm bác sĩ của tôi", "act as my doctor", "kê đơn cho bạn", "tự sát là gì", "a suicidex", "đóng vai học sinh", "diagnose me and self harm"]
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations")
 
@@ -27,23 +35,28 @@ def legacy_vni_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legacy_decode(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'fr'").select("doc_id", F.md5(L.decode_tcvn3(F.col("text")).cast("binary")).alias("decoded_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(L.decode_tcvn3(F.col("text")).cast("binary")).alias("decoded_md5"))
 
 
 def safety_guard(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).select("conv_id", "turn", F.coalesce(D.guard(F.col("text")), F.lit("")).alias("guard"))
+    """Every turn, and beside some of them a sentence of each pattern's kind."""
+    said = F.concat_ws(" ", "text", F.get(F.array(*[F.lit(x) for x in DANGER]), (F.col("conv_id") * 7 + F.col("turn")) % 24))
+    return _turns(spark, d).select("conv_id", "turn", F.coalesce(D.guard(said), F.lit("")).alias("guard"))
 
 
 def dialogue_intent(spark: SparkSession, d: str) -> DataFrame:
-    """Each user turn's intent and its question with the one before; every fourth is made a follow-up."""
-    asked = F.when(F.col("turn") % 4 == 2, F.lit("Why?")).otherwise(F.substring("text", 1, 60))
+    """Each user turn's intent and its question with the topic of the one before; some turns are made short ones of each kind."""
+    kinds = F.array(*[F.lit(x) for x in SHORT])
+    asked = F.coalesce(F.get(kinds, (F.col("conv_id") + F.col("turn")) % 16), F.col("text"))
     users = _turns(spark, d).where("role = 'user'").select("conv_id", "turn", asked.alias("question"))
-    before = F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return users.withColumn("previous", before).select("conv_id", "turn", D.intent(F.col("question")).alias("intent"), D.resolved(F.col("question"), F.col("previous")).alias("resolved"))
+    rows = users.withColumn("previous", F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return rows.select("conv_id", "turn", D.intent(F.col("question"), F.col("previous")).alias("intent"), F.md5(D.resolved(F.col("question"), F.col("previous")).cast("binary")).alias("resolved_md5"))
 
 
 def broad_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).where("role = 'user'").select("conv_id", "turn", D.broad(F.col("text")).alias("broad"), D.unclear(F.col("text")).alias("unclear"))
+    """Every user turn; some get a sign of breadth, or only its half."""
+    asked = F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in D.BROAD], F.lit("các"), F.lit("kiểu")), (F.col("conv_id") + F.col("turn")) % 60), "text")
+    return _turns(spark, d).where("role = 'user'").select("conv_id", "turn", D.broad(asked).alias("broad"), D.unclear(F.col("text")).alias("unclear"))
 
 
 def rescore_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +66,7 @@ def rescore_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_clean(spark: SparkSession, d: str) -> DataFrame:
-    tagged = F.concat(F.lit("<think>x y</think> "), F.lower("text"), F.lit(" [S1, S2] .\nSources: none"))
+    tagged = F.concat(F.lit("<think>x y</think> "), F.lower("text"), F.lit(" [S1, S2] .\n\n\n\nTóm lại: xong [S3].\nSources: none\n- [S1] one"))
     return _turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.md5(D.cleaned_answer(tagged).cast("binary")).alias("answer_md5"))
 
 
@@ -75,18 +88,34 @@ def ics_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 _T3 = L.TCVN3
+
+
+def _any(patterns: list[str]) -> str:
+    """A test of the column t; words end where no letter, digit or underscore follows, which RE2 has to be told for letters beyond ASCII."""
+    told = [p.replace("\\b", "(?:^|$|[^\\p{L}\\p{N}\\p{M}_])") for p in patterns]
+    return " OR ".join(f"regexp_matches(t, '(?i){p}')" for p in told)
+
+
 ORACLES = {
-    "legacy_detect": r"WITH s AS (SELECT doc_id, text[1:3000] AS s FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(s, '[đĐơưƠƯ\x{1EA0}-\x{1EF9}]')) AS u, len(regexp_extract_all(s, '[µ¸¶·¹¨»¾¼½Æ©ÇÉËÌÐÍÎÏªÒÕÓÔÖ×ØÜÞß«¬\x{AD}÷®§]')) AS t, greatest(length(trim(s)), 1) AS n FROM s) SELECT doc_id, u <= 2 AND t >= 5 AND t / n > 0.005 AS tcvn3 FROM c",
-    "legacy_decode": f"SELECT doc_id, md5(translate(text, '{_T3}', '{L.UNICODE}')) AS decoded_md5 FROM documents WHERE lang = 'fr'",
-    "safety_guard": r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(suicide|kill\s*myself|end\s*my\s*life|self[\s-]harm|want\s*to\s*die|cut\s*myself)\b') THEN 'crisis' WHEN regexp_matches(text, '(?i)\b(act\s+as\s+(?:my\s+)?(?:therapist|doctor|psychiatrist|psychologist)|diagnose\s+me)\b') THEN 'diagnosis' ELSE '' END AS guard FROM conversations""",
-    "dialogue_intent": r"""WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'Why?' ELSE text[1:60] END AS q FROM conversations WHERE role = 'user'),
-p AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS b, regexp_replace(lower(trim(regexp_replace(q, '\s+', ' ', 'g'))), '^[ .!?…]+|[ .!?…]+$', '', 'g') AS n FROM u),
-i AS (SELECT *, CASE WHEN n IN ('help', '/help') THEN 'help' WHEN n IN ('hello', 'hi') THEN 'greeting' WHEN n IN ('thanks', 'thank you') THEN 'thanks' WHEN n IN ('why', 'and then', 'for example') THEN 'follow_up' ELSE 'question' END AS intent FROM p)
-SELECT conv_id, turn, intent, CASE WHEN intent = 'follow_up' AND b IS NOT NULL AND strlen(b) <= 700 THEN trim(string_split(b, ' — ')[1]) || ' — ' || q ELSE q END AS resolved FROM i""",
-    "broad_queries": r"SELECT conv_id, turn, regexp_matches(lower(text), 'overview|compare|theories') OR (len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) >= 10 AND contains(lower(text), ' và ')) AS broad, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) < 2 OR length(trim(text)) < 5 AS unclear FROM conversations WHERE role = 'user'",
-    "plain_form": r"SELECT conv_id, turn, trim(text) <> '' AND turn % 3 <> 1 AND NOT regexp_matches(text, '\[S\d+\]|(?i)<\s*(?:think|analysis|reasoning)\b') AS plain FROM conversations",
-    "answer_clean": r"""WITH a AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text) || ' .', '[ \t]+', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g')) AS t FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, md5(upper(t[1]) || t[2:]) AS answer_md5 FROM a""",
+    "legacy_detect": rf"WITH s AS (SELECT doc_id, text[1:3000] AS s FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(s, '{L.MODERN}')) AS u, len(regexp_extract_all(s, '{L.DISTINCT}')) AS t, greatest(length(trim(s)), 1) AS n FROM s) SELECT doc_id, u <= 2 AND t >= 5 AND t / n > 0.005 AS tcvn3 FROM c",
+    "legacy_decode": f"SELECT doc_id, md5(translate(text, '{_T3}', '{L.UNICODE}')) AS decoded_md5 FROM documents",
+    "safety_guard": f"""WITH c AS (SELECT conv_id, turn, text || coalesce(' ' || [{', '.join("'" + x + "'" for x in DANGER)}][(conv_id * 7 + turn) % 24 + 1], '') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN {_any(D.CRISIS)} THEN 'crisis' WHEN {_any(D.DIAGNOSIS)} THEN 'diagnosis' ELSE '' END AS guard FROM c""",
+    "dialogue_intent": f"""WITH u AS (SELECT conv_id, turn, coalesce([{', '.join("'" + x + "'" for x in SHORT)}][(conv_id + turn) % 16 + 1], text) AS q FROM conversations WHERE role = 'user'),
+p AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS b, regexp_replace(lower(trim(regexp_replace(q, '[\\s\\x{{00A0}}\\x00-\\x1F]+', ' ', 'g'))), '^[ .!?…]+|[ .!?…]+$', '', 'g') AS n FROM u),
+f AS (SELECT *, n IN ('tại sao', 'công thức này là gì', 'cho ví dụ cụ thể') AS back, coalesce(b, '') = '' OR strlen(b) > 700 OR regexp_matches(b, '(?i){D.NO_REFERENT}') OR b = 'tư vấn' AS lost FROM p),
+i AS (SELECT *, CASE n WHEN 'trợ giúp' THEN 'help' WHEN 'hello' THEN 'greeting' WHEN 'cám ơn' THEN 'thanks' WHEN 'tư vấn' THEN 'clarify' ELSE CASE WHEN back AND lost THEN 'clarify' WHEN back THEN 'follow_up' ELSE 'question' END END AS intent FROM f)
+SELECT conv_id, turn, intent, md5(CASE WHEN intent = 'follow_up' THEN trim(string_split(b, ' — ')[1]) || ' — ' || q ELSE q END) AS resolved_md5 FROM i""",
+    "broad_queries": f"""WITH c AS (SELECT conv_id, turn, text, lower(coalesce([{', '.join("'" + x + "'" for x in [*D.BROAD, 'các', 'kiểu'])}][(conv_id + turn) % 60 + 1] || ' ', '') || text) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, {' OR '.join(f"contains(t, '{x}')" for x in D.BROAD)} OR (len(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')) >= 10 AND (contains(t, ' và ') OR contains(t, ' giữa '))) AS broad, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) < 2 OR length(trim(text)) < 5 AS unclear FROM c""",
+    "plain_form": r"SELECT conv_id, turn, trim(text) <> '' AND turn % 3 <> 1 AND NOT regexp_matches(text, '\[S\d+\]|(?i)<\s*(?:think|analysis|reasoning)\b|\[[^\]\n]+,\s*Trang\s+\d+\]') AS plain FROM conversations",
+    "answer_clean": r"""WITH a AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text) || ' .' || chr(10) || 'xong.' || chr(10), '\s+([,.;:!?])', '\1', 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ' || chr(9)) AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, md5(CASE WHEN regexp_matches(t, '^[a-z]\s*([(=+\-*/^<>]|==|!=)') THEN t ELSE upper(t[1]) || t[2:] END) AS answer_md5 FROM a""",
+    "legacy_vni_detect": rf"""WITH s AS (SELECT doc_id, text[1:4000] AS s FROM documents) SELECT doc_id, len(regexp_extract_all(s, '{L.MODERN}')) <= 2 AND (len(regexp_extract_all(' ' || regexp_replace(s, '([^\p{{L}}\p{{M}}\p{{N}}_])', '\1 ', 'g') || ' ', '(?i)[^\p{{L}}\p{{M}}\p{{N}}_]' || '{L.VNI_WORDS}'.replace('\b', '') || '[^\p{{L}}\p{{M}}\p{{N}}_]')) >= 2
+OR (regexp_matches(s, '[ñÑöÖ]') AND len(regexp_extract_all(s, '(?i){L.VNI_PAIRS}')) >= 4)) AS vni FROM s""",
+    "citation_claims": r"""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '([.!?])(\s|$)', ' [S1, S2]\1\2', 'g') AS t FROM conversations WHERE role = 'assistant'),
+s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda x: trim(x) <> '' AND contains(x, '[S1, S2]')) AS c FROM a)
+SELECT conv_id, turn, unnest(range(0, len(c)))::INT AS n, trim(regexp_replace(regexp_replace(unnest(c), '\s*\[S1, S2\]', '', 'g'), '^\s*(?:[-*•]|\d+[.)])\s+', '')) AS claim, 'S1,S2' AS tags FROM s""",
     "ics_export": r"""WITH s AS (SELECT event_id, event_type, ts::DATE + ((3 - isodow(ts) + 7) % 7)::INT AS f, hour(ts) * 30 AS s FROM events)
 SELECT event_id, array_to_string(['BEGIN:VEVENT', 'UID:' || event_id, 'DTSTART:' || strftime(f, '%Y%m%dT') || lpad((s // 60)::VARCHAR, 2, '0') || lpad((s % 60)::VARCHAR, 2, '0') || '00', 'DTEND:' || strftime(f, '%Y%m%dT') || lpad(((s + 90) // 60)::VARCHAR, 2, '0') || lpad(((s + 90) % 60)::VARCHAR, 2, '0') || '00', 'RRULE:FREQ=WEEKLY;UNTIL=20241231', 'SUMMARY:a\; b\, ' || event_type, 'END:VEVENT'], chr(13) || chr(10)) AS event FROM s""",
 }

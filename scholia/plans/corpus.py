@@ -97,6 +97,21 @@ _LANG = r"""CASE WHEN en >= 8 AND vi <= w * 0.2 THEN 'en' WHEN vi >= greatest(3,
 _LANG_CTE = r"""l AS (SELECT doc_id, source, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('the', 'and', 'of', 'to', 'that', 'with', 'for', 'is', 'in'))) AS en,
 len(regexp_extract_all(lower(text), '[a-z]+')) AS w, len(regexp_extract_all(text, '[ăâđêôơưĂÂĐÊÔƠƯ\x{1EA0}-\x{1EF9}]')) AS vi, length(text) AS n FROM documents)"""
 
+def _reject_sql() -> str:
+    test = lambda c, patterns: "(" + " OR ".join(f"regexp_matches({c}, '(?i){p}')" for p in patterns) + ")"
+    begins = lambda heads: "(" + " OR ".join(f"starts_with(low, '{h}')".replace("\n'", "' || chr(10)") for h in heads) + ")"
+    roles = "(" + " OR ".join(f"contains(lower(l), '{r}')" for r in X.ROLES) + ")"
+    return rf"""WITH d AS (SELECT doc_id, trim(text) AS t, lower(trim(text)) AS low, {_LINES} AS ls FROM documents),
+x AS (SELECT *, string_split_regex(t, '\s+')[-1] AS last, {' + '.join(f"regexp_matches(low, '{p}')::INT" for p in X.BIOGRAPHY)} AS hits,
+ len(list_filter(ls, lambda l: regexp_matches(l, '(?i){X.CONTENTS_LINE}'))) AS listed, len(list_filter(ls, lambda l: regexp_matches(l, '{X.ROLE_LINE}') AND {roles})) AS credits,
+ len(list_distinct({' || '.join(f"regexp_extract_all(low, '{p}')" for p in X.STAFF)})) AS named FROM d)
+SELECT doc_id, CASE WHEN t = '' THEN 'empty_source' WHEN length(t) < 50 THEN 'source_too_short' WHEN {test('low', X.ACKNOWLEDGEMENTS)} THEN 'acknowledgements_boilerplate'
+ WHEN {begins(X.BIOGRAPHY_HEADS)} OR hits >= 2 THEN 'contributor_biography' WHEN named >= 2 OR (credits >= 2 AND credits / len(ls) >= 0.2) THEN 'editorial_staff_credits'
+ WHEN {test('low', X.PUBLISHER)} AND ({' OR '.join(f"contains(low, '{p}')" for p in X.PUBLISHER_TOO)}) THEN 'publisher_cataloging_or_corporate_boilerplate'
+ WHEN {begins(X.CONTENTS_HEADS)} OR (len(ls) >= 4 AND listed / len(ls) >= 0.35) THEN 'table_of_contents' WHEN {begins(X.REFERENCES_HEADS)} THEN 'bibliography_or_references'
+ WHEN regexp_matches(t, '[-–—,]$') OR (length(last) <= 2 AND NOT regexp_matches(last, '[.!?"''”»]$')) OR NOT regexp_matches(t, '[.!?"''”)»]$') THEN 'truncated_source_text' ELSE '' END AS reason FROM x"""
+
+
 ORACLES = {
     "page_chunks": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
 c AS (
@@ -111,19 +126,7 @@ SELECT doc_id, unnest(range(1, len(ps) + 1))::INT AS paragraph, unnest(ps) AS te
     "lang_detect": f"WITH {_LANG_CTE} SELECT doc_id, {_LANG} AS language FROM l",
     "lang_majority": f"WITH {_LANG_CTE}, f AS (SELECT source, {_LANG} AS language FROM l QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20) SELECT source, avg((language = 'en')::INT) >= 0.6 AS english FROM f GROUP BY source",
     "substantive_filter": r"""SELECT doc_id FROM documents WHERE NOT (len(regexp_extract_all(text, '_{3,}')) >= 2 OR (length(text) - length(replace(text, chr(10), '')) >= 8 AND NOT contains(text, '.') AND len(regexp_extract_all(text, '\S+')) < 100))""",
-    "source_reject_reason": rf"""WITH d AS (SELECT doc_id, trim(text) AS t, lower(trim(text)) AS low, {_LINES} AS ls FROM documents),
-x AS (SELECT *, string_split_regex(t, '\s+')[-1] AS last,
- regexp_matches(low, '\b(?:is|was)\s+(?:a|an)\s+(?:licensed psychologist|professor emeritus|professor of|associate professor|assistant professor|director of the|visiting scholar)\b')::INT + regexp_matches(low, '\bdepartment of [a-z\s]+ at [a-z\s]+ university\b')::INT + regexp_matches(low, '\b(?:has published more than \d+ articles|author of more than \d+ books|visiting scholar at the)\b')::INT AS hits,
- len(list_filter(ls, lambda l: regexp_matches(l, '(?i)^\s*(?:[0-9]+|[IVXLCDM]+|chương\s+[0-9]+|chapter\s+[0-9]+|part\s+[0-9]+)\s*[\.■\-–:—]\s*.+?\s+[0-9]+\s*$'))) AS listed,
- len(list_distinct(regexp_extract_all(low, '\b(?:vice-president|president|editor-in-chief|editorial director|acquisitions editor|developmental editor|copy editor|production editor|proofreader|compositor|photo researcher|art director|cover designer|marketing manager|project manager|senior editor|managing editor|executive editor|series editor|associate editor)\b'))) AS named FROM d)
-SELECT doc_id, CASE WHEN t = '' THEN 'empty_source' WHEN length(t) < 50 THEN 'source_too_short'
- WHEN regexp_matches(low, '^\s*(?:acknowledgements?|lời cảm ơn)\b|\b(?:we would like to thank our|special thanks to)\b') THEN 'acknowledgements_boilerplate'
- WHEN regexp_matches(low, '^(about the authors|about the contributors|contributors\n|author biographies)') OR hits >= 2 THEN 'contributor_biography'
- WHEN named >= 2 THEN 'editorial_staff_credits'
- WHEN regexp_matches(low, 'library of congress cataloging|cataloging-in-publication|all rights reserved(?:\.|\s+no part)') THEN 'publisher_cataloging_or_corporate_boilerplate'
- WHEN regexp_matches(low, '^(brief contents|table of contents|mục lục)') OR (len(ls) >= 4 AND listed / len(ls) >= 0.35) THEN 'table_of_contents'
- WHEN regexp_matches(low, '^(references|tài liệu tham khảo|bibliography)\n') THEN 'bibliography_or_references'
- WHEN regexp_matches(t, '[-–—,]$') OR (length(last) <= 2 AND NOT regexp_matches(last, '[.!?"''”»]$')) OR NOT regexp_matches(t, '[.!?"''”)»]$') THEN 'truncated_source_text' ELSE '' END AS reason FROM x""",
+    "source_reject_reason": _reject_sql(),
     "toc_detect": rf"""WITH d AS (SELECT doc_id, trim(text) AS t, lower(trim(text)) AS low, {_LINES} AS ls FROM documents),
 x AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda l: regexp_matches(l, '{_LEAD}'))) AS leaders, len(list_filter(ls, lambda l: length(l) > 80 AND NOT regexp_matches(l, '{_LEAD}'))) AS long,
  array_to_string(list_filter(ls, lambda l: length(l) > 60 AND NOT regexp_matches(l, '^(\d+[.)]|[A-ZĐ.\-\s]{{3,}})')), ' ') AS body,

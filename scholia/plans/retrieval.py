@@ -52,33 +52,38 @@ def scoped_search(spark: SparkSession, d: str) -> DataFrame:
     return _out(R.ranked(R.bm25(_docs(spark, d).where("source = 'src3'"), TERMS), 10))
 
 
-def _query_vector(spark: SparkSession, d: str) -> list[float]:
-    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's score for each query: the rows whose id is divisible by 50 are queries, against all rows."""
+    vectors = table(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return R.cosine_all(vectors, queries)
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = R.ranked(R.cosine(table(spark, d, "embeddings"), _query_vector(spark, d)), 20, "vec_id", descending=True)
-    return found.select("vec_id", "score", F.col("rank").cast("int").alias("rank"))
+    return R.best_for_each(_vectors(spark, d), 20, "vec_id").select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return R.cosine(table(spark, d, "embeddings"), _query_vector(spark, d)).where("score >= 0.15")
+    return _vectors(spark, d).where("score >= 0.3")
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The keyword ranking, the same for every query vector, and each query vector's ranking of documents."""
     words = R.ranked(R.bm25(_docs(spark, d), TERMS), 100).select("doc_id", "rank")
-    vectors = R.cosine(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _query_vector(spark, d), "doc_id").join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
-    return words, R.ranked(vectors, 100, descending=True).select("doc_id", "rank")
+    scored = _vectors(spark, d).withColumnRenamed("vec_id", "doc_id").join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
+    vectors = R.best_for_each(scored, 100, "doc_id").select("query_id", "doc_id", "rank")
+    asked = vectors.select("query_id").distinct()
+    return F.broadcast(words).crossJoin(asked).select("query_id", "doc_id", "rank"), vectors
 
 
 def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
     words, vectors = _two(spark, d)
-    return R.fuse([(words, 0.5), (vectors, 0.5)])
+    return R.fuse([(words, 0.5), (vectors, 0.5)], ["query_id", "doc_id"])
 
 
 def rrf_unweighted(spark: SparkSession, d: str) -> DataFrame:
     words, vectors = _two(spark, d)
-    return R.fuse([(words, 1.0), (vectors, 1.0)])
+    return R.fuse([(words, 1.0), (vectors, 1.0)], ["query_id", "doc_id"])
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +95,7 @@ def dedupe_text_keep_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def per_source_cap_backfill(spark: SparkSession, d: str) -> DataFrame:
-    kept = R.diversify(_scored(spark, d).where("source in ('src1', 'src2', 'src3')"), "source", 2, 12)
+    kept = R.diversify(_scored(spark, d), "source", 2, 40)
     return kept.select("doc_id", "source", F.col("position").cast("int").alias("position"))
 
 
@@ -109,7 +114,7 @@ def lexical_coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partial_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return R.one_side_only(_docs(spark, d).where("lang = 'de'"), "of the", "der die")
+    return R.one_side_only(_docs(spark, d), "of the", "der nothing")
 
 
 def concept_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -142,14 +147,18 @@ def _ranked_sql(name: str, k: int, desc: bool = False, key: str = "doc_id") -> s
     return f"(SELECT {key}, score, (row_number() OVER (ORDER BY score {'DESC' if desc else 'ASC'}, {key}))::INT AS rank FROM {name} QUALIFY rank <= {k})"
 
 
-_COS = """q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-cosine AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score FROM embeddings, q)"""
+_COS = """q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+cosine AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score FROM embeddings, q)"""
+
+
+def _best_sql(name: str, k: int, key: str) -> str:
+    return f"(SELECT query_id, {key}, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}))::INT AS rank FROM {name} QUALIFY rank <= {k})"
 
 
 def _rrf_sql(weight: float) -> str:
     return f"""WITH {_TOKS}, {_bm25_sql('b', TERMS)}, {_COS},
-w AS {_ranked_sql('b', 100)}, vc AS (SELECT vec_id AS doc_id, score FROM cosine WHERE vec_id IN (SELECT doc_id FROM documents)), v AS {_ranked_sql('vc', 100, True)}
-SELECT doc_id, round(sum(part), 9) AS score FROM (SELECT doc_id, {weight}::DOUBLE / (60 + rank) AS part FROM w UNION ALL SELECT doc_id, {weight}::DOUBLE / (60 + rank) FROM v) GROUP BY doc_id"""
+w AS {_ranked_sql('b', 100)}, vc AS (SELECT query_id, vec_id AS doc_id, score FROM cosine WHERE vec_id IN (SELECT doc_id FROM documents)), v AS {_best_sql('vc', 100, 'doc_id')}
+SELECT query_id, doc_id, round(sum(part), 9) AS score FROM (SELECT query_id, doc_id, {weight}::DOUBLE / (60 + rank) AS part FROM w, (SELECT DISTINCT query_id FROM v) UNION ALL SELECT query_id, doc_id, {weight}::DOUBLE / (60 + rank) FROM v) GROUP BY query_id, doc_id"""
 
 
 _SCORED = "sc AS (SELECT doc_id, source, text, len(regexp_extract_all(text, 'the')) / (length(text) + 1.0::DOUBLE) AS score FROM documents)"
@@ -164,21 +173,21 @@ u AS (SELECT doc_id, score, 1 AS probe FROM {_ranked_sql('a', 100)} UNION ALL SE
 SELECT doc_id, probe::INT AS probe, score FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY probe) = 1""",
     "like_fallback": "SELECT doc_id FROM documents WHERE lower(text) LIKE '%thestor%' OR lower(text) LIKE '%ciónes%' ORDER BY doc_id LIMIT 50",
     "scoped_search": f"WITH {_TOKS}, {_bm25_sql('b', TERMS, where="source = 'src3'")} SELECT * FROM {_ranked_sql('b', 10)}",
-    "cosine_topk": f"WITH {_COS} SELECT * FROM {_ranked_sql('cosine', 20, True, 'vec_id')}",
-    "cosine_threshold": f"WITH {_COS} SELECT * FROM cosine WHERE score >= 0.15",
+    "cosine_topk": f"WITH {_COS} SELECT * FROM {_best_sql('cosine', 20, 'vec_id')}",
+    "cosine_threshold": f"WITH {_COS} SELECT * FROM cosine WHERE score >= 0.3",
     "rrf_weighted": _rrf_sql(0.5),
     "rrf_unweighted": _rrf_sql(1.0),
     "dedupe_text_keep_best": rf"WITH {_SCORED} SELECT doc_id, round(score, 9) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY lower(trim(regexp_replace(text, '[\s\x{{00A0}}]+', ' ', 'g'))) ORDER BY score DESC, doc_id) = 1",
-    "per_source_cap_backfill": f"""WITH {_SCORED}, p AS (SELECT doc_id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) > 2 AS spare FROM sc WHERE source IN ('src1', 'src2', 'src3'))
-SELECT doc_id, source, (row_number() OVER (ORDER BY spare, score DESC, doc_id))::INT AS position FROM p QUALIFY position <= 12""",
+    "per_source_cap_backfill": f"""WITH {_SCORED}, p AS (SELECT doc_id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) > 2 AS spare FROM sc)
+SELECT doc_id, source, (row_number() OVER (ORDER BY spare, score DESC, doc_id))::INT AS position FROM p QUALIFY position <= 40""",
     "interleave_compare": f"""WITH {_TOKS}, {_bm25_sql('a', [['ther']])}, {_bm25_sql('b', [['tion']])},
 u AS (SELECT doc_id, rank, 0 AS side FROM {_ranked_sql('a', 20)} UNION ALL SELECT doc_id, rank, 1 FROM {_ranked_sql('b', 20)}),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, side) = 1)
 SELECT doc_id, (row_number() OVER (ORDER BY rank, side))::INT AS position FROM f""",
     "facet_first_seen": "WITH " + _TOKS + ", " + ", ".join(_bm25_sql(f"f{i}", [[w]]) for i, w in enumerate(("ther", "tion", "onsh", "eron"))) + "\nSELECT doc_id, min(probe)::INT AS probe FROM (" + " UNION ALL ".join(f"SELECT doc_id, {i + 1} AS probe FROM {_ranked_sql(f'f{i}', 6)}" for i in range(4)) + ") GROUP BY doc_id",
     "lexical_coverage_gate": f"WITH {_TOKS}, c AS (SELECT doc_id, round(len(list_intersect(toks, ['the', 'of', 'and', 'onsh', 'eron'])) / 5.0::DOUBLE, 6) AS covered FROM tok) SELECT doc_id, covered, covered < 0.75 AS weak FROM c",
-    "partial_evidence": rf"""WITH j AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM documents WHERE lang = 'de'),
-c AS (SELECT count(*) FILTER (contains(t, ' of the ') OR (contains(t, ' of ') AND contains(t, ' the '))) AS left_hits, count(*) FILTER (contains(t, ' der die ') OR (contains(t, ' der ') AND contains(t, ' die '))) AS right_hits FROM j)
+    "partial_evidence": rf"""WITH j AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM documents),
+c AS (SELECT count(*) FILTER (contains(t, ' of the ') OR (contains(t, ' of ') AND contains(t, ' the '))) AS left_hits, count(*) FILTER (contains(t, ' der nothing ') OR (contains(t, ' der ') AND contains(t, ' nothing '))) AS right_hits FROM j)
 SELECT left_hits, right_hits, (left_hits > 0) <> (right_hits > 0) AS partial FROM c""",
     "concept_evidence": r"WITH j AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT doc_id, contains(t, ' in the ') OR (contains(t, ' in ') AND contains(t, ' the ')) AS held FROM j",
 }

@@ -11,22 +11,32 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 
-def caught_up(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The rows that ``build`` of the stream of ``path`` has put out once all present files are read."""
+def caught_up(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", files: int = 1000) -> DataFrame:
+    """The rows that ``build`` of the stream of ``path`` has put out once all present files are read, ``files`` a batch.
+
+    In complete mode each batch puts out everything anew, so the last one holds.
+    """
     folder = _folder(spark)
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file
     out = build(source)
 
+    numbers: list[int] = []
+
     def put(batch: DataFrame, number: int) -> None:
+        numbers.append(number)
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
     out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out/*")
+    if not numbers:
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out/part={max(numbers)}" if mode == "complete" else f"{folder}/out/*")
 
 
 def deduplicated(spark: SparkSession, path: str, keys: list[str], at: str, delay: str = "365 days") -> DataFrame:

@@ -94,7 +94,8 @@ def test_dialogue(spark):
     assert one(spark, D.intent, " Hello! ") == "greeting" and one(spark, D.intent, "cho ví dụ cụ thể") == "follow_up"
     assert one(spark, D.resolved, "tại sao?", "khái niệm trọng lực — cũ") == "khái niệm trọng lực — tại sao?"
     assert one(spark, D.broad, "So sánh hai học thuyết") is True and one(spark, D.unclear, "hm") is True
-    assert one(spark, D.cleaned_answer, "<think>no</think> the answer [S1] .\nSources: a\nb") == "The answer."
+    assert one(spark, D.cleaned_answer, "<think>no</think> the answer [S1] .\nSources: a\n- b") == "The answer."
+    assert one(spark, D.cleaned_answer, "the answer [S1] .\nSources: a\nb") == "The answer.\n\nb"  # a source list's lines begin with a mark
     got = one(spark, D.claims, "First fact [S1, S2]. No source here.\n- Second fact [S2][S3].")
     assert [(c["claim"], c["tags"]) for c in got] == [("First fact.", ["S1", "S2"]), ("Second fact.", ["S2", "S3"])]
     assert one(spark, D.table_rows, "x\n| a | b |\n|---|---|\n| 1 | 2 |") == [["a", "b"], ["1", "2"]]
