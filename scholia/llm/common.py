@@ -69,7 +69,7 @@ def sample_ids(df: DataFrame, of: str, each: int, key: str = "doc_id", seed: int
     return lowest(rows, of, "_draw", each, [key]).select(key, of)
 
 
-def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: Column, total: int, most: int, per: int = 1000) -> DataFrame:
+def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: Column, total: int, most: int, per: int = 1000, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of the one row that ``values`` has for their ``key``; ``values.n`` says for how many rows, ``most`` at most.
 
     Keys of more than a thousandth of the ``total`` rows (so fewer than a thousand keys, which are broadcast) are salted: their rows
@@ -77,12 +77,12 @@ def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: Column, to
     """
     limit = max(per, total // 1000)
     if most <= limit:
-        return rows.join(values.drop("n"), key)
+        return rows.join(values.drop("n"), key, how)
     hot = values.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / per).cast("int").alias("_parts"))
     part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
     repeated = values.drop("n").join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
-    return salted.join(repeated, [key, "_part"]).drop("_part")
+    return salted.join(repeated, [key, "_part"], how).drop("_part")
 
 
 def ship(spark: SparkSession, value: object):

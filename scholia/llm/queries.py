@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, quality, secrets, sharding, simhash, tokens
+from scholia.llm import decontaminate, exact_dedup, fill_middle, langid, line_dedup, merkle, mixing, quality, quality_rules, secrets, sharding, simhash, tokens
 from scholia.llm.common import documents
 
 
@@ -69,6 +70,97 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, and whether it stays once lines that many documents of its source share are gone."""
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots, proof, and the root that it leads to after some were tampered with."""
+    return merkle.audit_documents(documents(spark, sf_dir))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, cuts and digests of what is written and of what it is restored to."""
+    made = fill_middle.restored(fill_middle.fill_middle(documents(spark, sf_dir)))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+#: Windows and lines as rows; lines by their text, not by a digest.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT i, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (SELECT i, p, CASE WHEN p + 7 <= len(ws) THEN array_to_string(ws[p:p + 7], ' ') END AS g FROM (SELECT i, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+c AS (SELECT i, p, g IS NOT NULL AND count(*) OVER (PARTITION BY i, g) > 1 AS twice FROM p),
+v AS (SELECT i, max(twice) OVER (PARTITION BY i ORDER BY p ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM c),
+r AS (SELECT i, count(*) FILTER (covered) AS n_repeat_words FROM v GROUP BY 1),
+l AS (SELECT i, host, t, line, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS normal
+  FROM (SELECT i, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT i, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
+h AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY 1),
+f AS (SELECT host, normal FROM l JOIN h USING (host) GROUP BY host, normal, texts HAVING count(DISTINCT t) > greatest(10, 0.01 * texts)),
+g AS (SELECT i, sum(len(string_split(normal, ' '))) AS gone FROM l JOIN f USING (host, normal) GROUP BY 1),
+b AS (SELECT i, doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_frequent_words
+  FROM d JOIN w USING (i) LEFT JOIN r USING (i) LEFT JOIN u USING (i) LEFT JOIN g USING (i)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_frequent_words >= 10 AND n_words - n_frequent_words >= 0.3 * n_words AS kept, n_frequent_words FROM j
+"""
+
+#: Tokens as a list, parts as slices of it.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts, list_transform([1, 9, 17, 25], lambda z: ('0x' || substr(h, z, 8))::BIGINT) AS hs FROM d),
+c AS (SELECT *, len(ts) AS n, least(hs[1] % (len(ts) + 1), hs[2] % (len(ts) + 1)) AS a, greatest(hs[1] % (len(ts) + 1), hs[2] % (len(ts) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, coalesce(array_to_string(ts[:a], ''), '') AS p, coalesce(array_to_string(ts[a + 1:b], ''), '') AS m, coalesce(array_to_string(ts[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256 FROM x
+"""
+
+
+def crc_table() -> str:
+    """The 256 checksums of one byte, as a list for SQL."""
+    crc = []
+    for n in range(256):
+        c = n
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        crc.append(c)
+    return "[" + ", ".join(map(str, crc)) + "]::BIGINT[]"
+
+
+def op12_sql(levels: int = 26, upper: int = 8) -> str:
+    """Level by level as grouped queries, for groups of up to 2 ** ``levels`` rows and 2 ** ``upper`` groups."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda n: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    crc = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+    ctes = [
+        f"tab AS (SELECT {crc_table()} AS tab)",
+        f"d AS (SELECT doc_id, lang, coalesce('=' || lang, '-') AS g, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('(n_chars::HUGEINT + 1)')} ELSE {leaf('n_chars')} END AS claim FROM documents, tab)",
+        "r AS (SELECT row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, * FROM d)",
+        "t0 AS (SELECT g, i, leaf AS h FROM r)",
+        "p0 AS (SELECT id, doc_id, g, i, leaf, claim AS f, '' AS s FROM r)",
+    ]
+
+    def climb(t: str, p: str, n: int) -> None:
+        for k in range(n):
+            ctes.append(f"{t}{k + 1} AS (SELECT g, i // 2 AS i, CASE WHEN max(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {t}{k}) GROUP BY g, i // 2)")
+            ctes.append(
+                f"{p}{k + 1} AS (SELECT id, doc_id, p.g, p.i // 2 AS i, leaf, CASE WHEN c = 1 THEN f WHEN o.h IS NULL THEN sha256(f) WHEN o.i < p.i THEN sha256(o.h || f) ELSE sha256(f || o.h) END AS f, s || coalesce(o.h, '') AS s "
+                f"FROM {p}{k} p JOIN (SELECT g, count(*) AS c FROM {t}{k} GROUP BY 1) n ON p.g = n.g LEFT JOIN {t}{k} o ON o.g = p.g AND o.i = xor(p.i, 1))"
+            )
+
+    climb("t", "p", levels)
+    ctes += [
+        f"s AS (SELECT g AS name, h FROM t{levels})",
+        "x AS (SELECT name, h, row_number() OVER (ORDER BY name) - 1 AS i FROM s)",
+        "y0 AS (SELECT 0 AS g, i, h FROM x)",
+        f"q0 AS (SELECT id, doc_id, 0 AS g, x.i, leaf, f, s FROM p{levels} JOIN x ON x.name = p{levels}.g)",
+    ]
+    climb("y", "q", upper)
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT r.doc_id, r.leaf, x.h AS subroot, y.h AS root, sha256(q.s) AS proof_sha256, q.f AS folded_root, q.f = y.h AS verified FROM r JOIN q{upper} q USING (id) JOIN x ON x.name = r.g, y{upper} y"
+
+
 #: Targets by sorted limits, every quotient ranked, blocks drawn by the same MD5.
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -108,12 +200,6 @@ len(ls)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed FROM d LEFT JO
 
 def op9_sql() -> str:
     """The same descent as nested minima, with the checksum as a fold over bytes."""
-    crc = []
-    for n in range(256):
-        c = n
-        for _ in range(8):
-            c = c >> 1 ^ 0xEDB88320 * (c & 1)
-        crc.append(c)
 
     def draw(name: str, weight: float) -> str:
         return f"-ln((('0x' || substr(md5('tree:' || doc_id || ':{name}'), 1, 13))::BIGINT + 0.5) / {16**13}.0) / {weight}"
@@ -128,7 +214,7 @@ def op9_sql() -> str:
 
     place = {s.shard: s for s in sharding.tree(40)}
     listed = lambda name: "[" + ", ".join(str(getattr(place[n], name)) for n in range(40)) + "]"
-    table = "[" + ", ".join(map(str, crc)) + "]::BIGINT[]"
+    table = crc_table()
     return f"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents), tab AS (SELECT {table} AS tab),
 c AS (SELECT i, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM d, tab),
@@ -139,8 +225,8 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_decontaminate, op5_simhash, op6_tokens, op7_mixing, op8_exact_dedup, op9_sharding, op10_line_dedup, op11_quality_rules, op12_merkle, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql(), "op10_line_dedup": OP10_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op7_mixing": OP7_SQL, "op9_sharding": op9_sql(), "op10_line_dedup": OP10_SQL, "op11_quality_rules": OP11_SQL, "op12_merkle": op12_sql(), "op13_fill_middle": OP13_SQL}
