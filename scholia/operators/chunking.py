@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions import spans
 from scholia.functions.text import paragraphs
 
 _CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -48,32 +47,7 @@ def paragraph_rows(pages: DataFrame, key: str = "doc_id", text: str = "text") ->
     return pages.select(key, F.posexplode(paragraphs(F.col(text))).alias("n", "text")).select(key, (F.col("n") + 1).alias("paragraph"), "text")
 
 
-_SENTENCE = T.ArrayType(T.StructType([T.StructField("sentence", T.IntegerType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType())]))
-# Abbreviations that end no sentence.
-ABBREVIATIONS = {"dr.", "mr.", "mrs.", "ms.", "prof.", "vs.", "etc.", "e.g.", "i.e.", "fig.", "no.", "vol.", "p.", "pp.", "tp.", "ths.", "ts.", "gs."}
-
-
-def sentence_bounds(text: str) -> list[tuple[int, int]]:
-    """(start, end) of sentences: they end at .!? before white space, but not after an abbreviation, and at blank lines."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?…]+[\"'”»)]*(?=\s|$)|\n\s*\n|$", text):
-        if m.group() and "\n" not in m.group():
-            word = text[start : m.end()].split()[-1].lower() if text[start : m.end()].split() else ""
-            if word in ABBREVIATIONS or re.fullmatch(r"[a-zđ]\.", word):
-                continue
-        end = m.start() if "\n" in m.group() else m.end()
-        left, right = start + len(text[start:end]) - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())
-        if left < right:
-            out.append((left, right))
-        start = m.end()
-    return out
-
-
 def sentences(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, sentence, char_start, char_end, text: offsets hold in the text as given."""
-
-    @F.pandas_udf(_SENTENCE)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [(i, a, b, t[a:b]) for i, (a, b) in enumerate(sentence_bounds(t))] if t else [])
-
-    return pages.select(key, F.explode(cut(F.col(text))).alias("s")).select(key, "s.*")
+    """key, sentence (from 0), char_start, char_end, text: offsets hold in the text as given."""
+    rows = pages.select(key, F.posexplode(spans.sentences(F.col(text))).alias("sentence", "s"))
+    return rows.select(key, "sentence", F.col("s.begin").alias("char_start"), F.col("s.end").alias("char_end"), F.col("s.text").alias("text"))

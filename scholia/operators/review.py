@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.functions.audits import catalog
 from scholia.functions.legacy import is_tcvn3, is_vni
 from scholia.functions.text import private_use
 
@@ -41,9 +42,8 @@ def inspection(text: Column, images: Column, drawings: Column) -> Column:
 
 
 def evidence(sources: DataFrame, source: str, text: str, limit: int = 30) -> DataFrame:
-    """source, evidence (E1 on), sentence: the first sentences of each source."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
-    rows = sources.select(source, F.posexplode(F.slice(parts, 1, limit)).alias("n", "sentence"))
+    """source, evidence (E1 on), sentence: the first spans of each source, as an auditor is given them."""
+    rows = sources.select(source, F.posexplode(catalog(F.col(text), limit)).alias("n", "sentence"))
     return rows.select(source, F.concat(F.lit("E"), (F.col("n") + 1).cast("string")).alias("evidence"), "sentence")
 
 

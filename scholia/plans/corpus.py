@@ -113,6 +113,15 @@ SELECT doc_id, CASE WHEN t = '' THEN 'empty_source' WHEN length(t) < 50 THEN 'so
 
 
 ORACLES = {
+    "sentence_spans": r"""WITH d AS (SELECT doc_id, text, string_split(text, '') AS cs FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, i, text, len(cs) AS n, cs[i] AS c, cs[i + 1] AS x FROM (SELECT doc_id, text, cs, unnest(range(1, len(cs) + 1)) AS i FROM d)),
+b AS (SELECT doc_id, i AS e FROM p WHERE c IN ('.', '!', '?', '"', '''', '”', '’', '»', ')') AND (i = n OR regexp_matches(x, '\s')) AND regexp_matches(substr(text, greatest(i - 20, 1), least(i, 21)), '[.!?][.!?]*["''”’»)]*$')
+  AND NOT regexp_matches(substr(text, greatest(i - 20, 1), least(i, 21)), '(?i)\b(?:PhD|Dr|Mr|Mrs|Ms|Prof|vs|e\.g|i\.e|al|No|vol|pp|sec)\.$')
+  UNION SELECT doc_id, i - 1 FROM p WHERE c = chr(10) AND x = chr(10) UNION SELECT doc_id, length(text) FROM d),
+s AS (SELECT doc_id, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) AS a FROM b),
+t AS (SELECT doc_id, a, e, text[a + 1:e] AS part FROM s JOIN d USING (doc_id)),
+r AS (SELECT doc_id, e - length(regexp_replace(part, '^\s+', '')) AS char_start, e AS char_end FROM t WHERE regexp_matches(part, '\S'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY char_end) - 1 AS sentence, char_start, char_end FROM r""",
     "page_chunks": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
 c AS (
   SELECT doc_id, t, 0 AS chunk_index, 0 AS s, CASE WHEN length(t) <= 1200 THEN length(t) ELSE coalesce(nullif(600 + length(regexp_extract(t[601:1200], '(?s)^(.*\s)', 1)), 600), 1200) END AS e FROM d WHERE length(t) > 0

@@ -102,8 +102,10 @@ def _state(shift: int) -> str:
 ORACLES = {
     "verdict_parse": f"SELECT doc_id, {_state(0)} AS state FROM documents JOIN labels USING (doc_id)",
     "judge_consensus": f"SELECT doc_id, {_state(0)} = 'supported' AND {_state(4)} = 'supported' AS kept FROM documents JOIN labels USING (doc_id)",
-    "evidence_catalog": r"""WITH s AS (SELECT doc_id, list_filter([trim(x) for x in regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+')], lambda x: x <> '')[1:30] AS ps FROM documents)
-SELECT doc_id, 'E' || unnest(range(1, len(ps) + 1)) AS evidence, md5(unnest(ps)) AS sentence_md5 FROM s""",
+    "evidence_catalog": r"""WITH l AS (SELECT doc_id, n, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)),
+s AS (SELECT doc_id, n, k, trim(ps[k]) AS p FROM (SELECT doc_id, n, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT doc_id, n, string_split(regexp_replace(regexp_replace(line, '([^\n]\.)\s+', '\1' || chr(1), 'g'), '[!?]+\s+|;\s+', chr(1), 'g'), chr(1)) AS ps FROM l))),
+e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i, p FROM s WHERE length(p) >= 3)
+SELECT doc_id, 'E' || i AS evidence, md5(p) AS sentence_md5 FROM e WHERE i <= 30 UNION ALL SELECT doc_id, 'E1', md5(trim(text)) FROM documents WHERE trim(text) <> '' AND doc_id NOT IN (SELECT doc_id FROM e)""",
     "live_admission": "SELECT doc_id, CASE WHEN doc_id % 8 = 5 THEN 'document_missing' WHEN doc_id % 9 = 4 THEN 'page_not_verified' WHEN doc_id % 6 = 2 THEN 'text_changed' ELSE '' END AS reason FROM documents",
     "page_chunk_diff": "SELECT source, count(*) FILTER (doc_id % 4 <> 3 AND doc_id % 7 <> 1 AND doc_id % 5 <> 2) AS same, count(*) FILTER (doc_id % 4 <> 3 AND doc_id % 7 <> 1 AND doc_id % 5 = 2) AS changed, count(*) FILTER (doc_id % 4 = 3 AND doc_id % 7 <> 1) AS added, count(*) FILTER (doc_id % 4 <> 3 AND doc_id % 7 = 1) AS removed FROM documents GROUP BY 1",
     "split_conflict": "SELECT source FROM documents GROUP BY 1 HAVING count(DISTINCT lang = 'es') > 1",

@@ -39,9 +39,11 @@ def test_chunk_arguments():
         chunking.chunk_bounds("x", 10, 10)
 
 
-def test_sentences():
+def test_sentences(spark):
     text = "See Dr. Smith at 3.5 km. He left!\n\nNew part without end"
-    assert [text[a:b] for a, b in chunking.sentence_bounds(text)] == ["See Dr. Smith at 3.5 km.", "He left!", "New part without end"]
+    rows = chunking.sentences(spark.createDataFrame([(7, text)], "doc_id int, text string")).orderBy("sentence").collect()
+    assert [text[r["char_start"] : r["char_end"]] for r in rows] == ["See Dr. Smith at 3.5 km.", "He left!", "New part without end"]
+    assert [r["sentence"] for r in rows] == [0, 1, 2]
 
 
 @pytest.mark.parametrize(
