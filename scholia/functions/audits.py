@@ -45,9 +45,12 @@ def strict_object(raw: Column) -> Column:
     """
     mark = F.md5(F.coalesce(raw, F.lit("")).cast("binary"))
     whole = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit(',"'), mark, F.lit('":0}')))
-    closed = F.contains(whole.cast("string"), F.concat(F.lit('"'), mark, F.lit('":0')))
-    inner = F.try_variant_get(whole, "$.x", "variant")
-    return F.when(closed & F.schema_of_variant(inner).startswith("OBJECT"), inner)
+
+    def inside(v: Column) -> Column:
+        closed = F.contains(v.cast("string"), F.concat(F.lit('"'), mark, F.lit('":0')))
+        return F.when(closed & F.schema_of_variant(F.try_variant_get(v, "$.x", "variant")).startswith("OBJECT"), F.try_variant_get(v, "$.x", "variant"))
+
+    return let(whole, inside)
 
 
 def text_field(value: Column, name: str) -> Column:
@@ -60,8 +63,7 @@ def catalog(text: Column, limit: int = 30) -> Column:
     """Array of a source's first ``limit`` spans, E1 on: parts of its lines of three or more characters, each as it stands; the whole text if there is none."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"), stripped), lambda p: p != "")
     parts = F.flatten(F.transform(lines, lambda p: F.split(p, ENDS + r"|[!?]+\s+|;\s+")))
-    kept = F.slice(F.filter(F.transform(parts, stripped), lambda s: F.length(s) >= 3), 1, limit)
-    return let(kept, lambda k: F.when(F.size(k) > 0, k).when(stripped(text) != "", F.array(stripped(text))).otherwise(F.array().cast("array<string>")))
+    return let(F.slice(F.filter(F.transform(parts, stripped), lambda s: F.length(s) >= 3), 1, limit), lambda k: F.when(F.size(k) > 0, k).when(stripped(text) != "", F.array(stripped(text))).otherwise(F.array().cast("array<string>")))
 
 
 def evidence_quote(spans: Column, evidence_id: Column) -> Column:
@@ -131,17 +133,20 @@ def audited(raw: Column, sources: Column, draft: Column | None = None) -> Column
     unsupported; a supported one whose quote is not in its source becomes uncertain. A draft (null or empty: not looked at) must be
     covered by supported claims.
     """
-    clean = stripped(F.coalesce(raw, F.lit("")))
-    open_fence = clean.startswith("```")
-    inner = stripped(F.regexp_replace(F.regexp_replace(clean, r"```\z", ""), r"^\s*```(?:json)?", ""))
-    body = F.when(open_fence & (~clean.endswith("```") | (F.length(clean) < 6)), F.lit(None)).when(open_fence, inner).otherwise(clean)
+
+    def unfenced(clean: Column) -> Column:
+        fence = clean.startswith("```")
+        inner = stripped(F.regexp_replace(F.regexp_replace(clean, r"```\z", ""), r"^\s*```(?:json)?", ""))
+        return F.when(fence & (~clean.endswith("```") | (F.length(clean) < 6)), F.lit(None)).when(fence, inner).otherwise(clean)
+
+    body = let(let(stripped(F.coalesce(raw, F.lit(""))), unfenced), strict_object)
 
     def claim(c: Column) -> Column:
         evidence, given = F.try_variant_get(c, "$.evidence_id", "string"), text_field(c, "evidence_quote")
         source = text_field(c, "source_id")
-        found = evidence_quote(catalog(F.try_element_at(sources, source)), evidence)
         named = stripped(F.coalesce(evidence, F.lit(""))) != ""
-        quote = F.when(named & found.isNotNull(), found).when(named & (F.coalesce(given, F.lit("")) == ""), INVALID).otherwise(given)
+        found = F.when(named, evidence_quote(catalog(F.try_element_at(sources, source)), evidence))
+        quote = F.coalesce(found, F.when(named & (F.coalesce(given, F.lit("")) == ""), F.lit(INVALID)).otherwise(given))
         said = F.lower(stripped(text_field(c, "verdict")))
         return F.struct(text_field(c, "statement").alias("statement"), source.alias("source_id"), quote.alias("evidence_quote"), said.alias("verdict"))
 
@@ -171,4 +176,4 @@ def audited(raw: Column, sources: Column, draft: Column | None = None) -> Column
         sound = lambda x: F.coalesce(x["overall"].isin(VERDICTS) & (F.size(x["claims"]) > 0) & F.forall(x["claims"], whole), F.lit(False))
         return let(fields, lambda x: F.when(sound(x), let(F.struct(x["overall"], F.transform(x["claims"], settled).alias("claims")), judged)).otherwise(refused))
 
-    return F.coalesce(let(strict_object(body), lambda v: F.when(v.isNotNull(), read(v))), refused)
+    return F.coalesce(let(body, lambda v: F.when(v.isNotNull(), read(v))), refused)
