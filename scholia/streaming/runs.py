@@ -22,11 +22,25 @@ def caught_up(spark: SparkSession, path: str, build: Callable[[DataFrame], DataF
 
     In complete mode each batch puts out everything anew, so the last one holds.
     """
-    folder = _folder(spark)
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file
-    out = build(source)
+    return drained(spark, build(source), mode)
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session like this one, whose streams keep state in RocksDB, which timers, maps and values of keyed state need."""
+    session = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            session.conf.set(k, v)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    return session
 
+
+def drained(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows that a stream has put out once all that is there has been read."""
+    folder = _folder(spark)
     numbers: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
