@@ -40,7 +40,8 @@ def role(text: Column, concepts: list[str], defines: list[str] = DEFINES, explai
 
     Attached: a cue of a definition in a line that names a concept (or all content words of one), in one of the two lines below it
     unless that is a dated line, or within 120 characters before and 160 behind a place where the concept stands, where no date is.
-    Explained: a cue of an explanation near by, or enough text. The first concept and line that attach decide.
+    Explained: a cue of an explanation near by, or enough text. The first line that attaches decides for a concept; concepts after an
+    attached one can still explain, by the first line that names them.
     """
     t = trimmed(F.coalesce(text, F.lit("")))
     low = F.lower(t)
@@ -57,7 +58,7 @@ def _role(t: Column, low: Column, lines: Column, wanted: list[str], defines: lis
     below = lambda i, k: F.coalesce(F.get(lines, i + k), F.lit(""))
     attached = lambda e: F.struct(F.lit(True).alias("attached"), e.alias("explained"))
 
-    def first_line(c: str) -> Column:
+    def naming(c: str):
         words = content_words(c)
 
         def names(x: Column) -> Column:
@@ -66,16 +67,24 @@ def _role(t: Column, low: Column, lines: Column, wanted: list[str], defines: lis
                 every = every & F.contains(x, F.lit(w))
             return F.contains(x, F.lit(c)) | every
 
+        return names
+
+    def by_lines(x: Column, i: Column) -> Column:
+        first = ~dated(x) & ~dated(below(i, 1)) & any_of(below(i, 1), defines)
+        second = ~dated(x) & ~dated(below(i, 1)) & ~dated(below(i, 2)) & any_of(below(i, 2), defines)
+        return F.when(any_of(x, defines), attached(explained(near(i, 3), 100))).when(first, attached(explained(near(i + 1, 4), 80))).when(second, attached(explained(near(i + 2, 4), 80)))
+
+    def later(c: str) -> Column:
+        """What a concept adds once another is attached: only the first line that names it counts, and no surroundings."""
+        names = naming(c)
+        lone = F.transform(lines, lambda x, i: F.when(names(x), F.coalesce(by_lines(x, i)["explained"], F.lit(False))))
+        return F.coalesce(F.get(F.array_compact(lone), 0), F.lit(False))
+
+    def first_line(c: str) -> Column:
+        names = naming(c)
+
         def line(hit: Column, x: Column, i: Column) -> Column:
-            first = ~dated(x) & ~dated(below(i, 1)) & any_of(below(i, 1), defines)
-            second = ~dated(x) & ~dated(below(i, 1)) & ~dated(below(i, 2)) & any_of(below(i, 2), defines)
-            result = (
-                F.when(any_of(x, defines), attached(explained(near(i, 3), 100)))
-                .when(first, attached(explained(near(i + 1, 4), 80)))
-                .when(second, attached(explained(near(i + 2, 4), 80)))
-                .when(~dated(x) & hit.isNotNull(), attached(any_of(hit, explains) | (F.length(t) > 120)))
-            )
-            return F.when(names(x), result)
+            return F.when(names(x), by_lines(x, i).when(~dated(x) & hit.isNotNull(), attached(any_of(hit, explains) | (F.length(t) > 120))))
 
         def windows(parts: Column) -> Column:
             """The surroundings of each place where the concept stands: the parts of the text between its places tell where."""
@@ -88,8 +97,16 @@ def _role(t: Column, low: Column, lines: Column, wanted: list[str], defines: lis
         return let(F.struct(hits.alias("hit")), lambda h: F.get(F.array_compact(F.transform(lines, lambda x, i: line(h["hit"], x, i))), 0))
 
     if wanted:
-        none = F.struct(F.lit(False).alias("attached"), F.lit(False).alias("explained"))
-        best = F.coalesce(*[first_line(c) for c in wanted], none)
+
+        def over(found: Column) -> Column:
+            before, said = F.lit(False), F.lit(False)
+            for k, c in enumerate(wanted):
+                own = F.get(found, F.lit(k))
+                said = said | F.when(before, later(c)).otherwise(F.coalesce(own["explained"], F.lit(False)))
+                before = before | own.isNotNull()
+            return F.struct(before.alias("attached"), said.alias("explained"))
+
+        best = let(F.array(*[first_line(c) for c in wanted]), over)
     else:
         plain = any_of(low, PLAIN_DEFINITIONS)
         best = F.struct(plain.alias("attached"), (plain & (any_of(low, explains) | (F.length(t) > 120))).alias("explained"))

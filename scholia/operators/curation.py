@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scholia.functions.text import hash_mod
 
@@ -83,26 +81,34 @@ def cross_pairs(rows: DataFrame, theme: str, language: str, file: str, key: str)
     return met.select(F.col(f"a.{theme}").alias(theme), F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"))
 
 
-def holding(rows: DataFrame, items: list[tuple[int, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, item_id of rows that hold an item word for word. The items are a stated set; each task builds one automaton of them all, so a text is read once."""
-    by_text: dict[str, list[int]] = {}
-    for i, t in items:
-        if t:
-            by_text.setdefault(t, []).append(i)
+def holding(rows: DataFrame, items: DataFrame, item: str = "item_id", wanted: str = "text", key: str = "doc_id", text: str = "text", gram: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
+    """key, item of rows that hold an item (a row of ``items``) word for word; null and empty items are held by none.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for t, ids in by_text.items():
-            automaton.add_word(t, ids)
-        automaton.make_automaton()
-        for b in batches:
-            held = [sorted({i for _, ids in automaton.iter(t.as_py()) for i in ids}) if by_text and t.is_valid else [] for t in b.column(text)]
-            which = [n for n, ids in enumerate(held) for _ in ids]
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(which, pa.int64())), pa.array([i for ids in held for i in ids], pa.int64())], [key, "item_id"])
-
-    return rows.select(key, text).mapInArrow(each, T.StructType([rows.schema[key], T.StructField("item_id", T.LongType())]))
+    What stands between an item's first and last word stands as whole words in any text that holds it. So an item's ``gram`` words
+    after its first meet the same words of texts by their hash, and ``contains`` decides. Items with too few words meet by one inner
+    word, and those of one or two words are compared with each text: their number is asked first, and beyond ``most_broadcast`` items
+    the joins shuffle.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    given = items.where(F.coalesce(F.col(wanted), F.lit("")) != "").select(F.col(item).alias("_item"), F.col(wanted).alias("_wanted"), split(F.col(wanted)).alias("_w"))
+    size = F.when(F.size("_w") >= gram + 2, gram).when(F.size("_w") >= 3, 1).otherwise(0)
+    known = given.withColumn("_size", size).withColumn("_gram", F.xxhash64(F.slice("_w", F.lit(2), F.col("_size")))).drop("_w").persist()
+    hint = (lambda d: F.broadcast(d)) if known.count() <= most_broadcast else (lambda d: d)
+    sizes = [r[0] for r in known.select("_size").distinct().collect()]
+    texts = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    found = []
+    for n in sorted(sizes):
+        own = known.where(F.col("_size") == n).drop("_size")
+        if n == 0:
+            met = texts.join(hint(own), F.contains("_text", F.col("_wanted")))
+        else:
+            w = texts.withColumn("_w", split(F.col("_text"))).where(F.size("_w") >= n)
+            begins, width = F.sequence(F.lit(1), F.size("_w") - n + 1), F.lit(n)
+            grams = F.array_distinct(F.transform(begins, lambda i: F.xxhash64(F.slice("_w", i, width))))  # noqa: B023  built at once
+            met = w.select("_key", "_text", F.explode(grams).alias("_gram")).join(hint(own), "_gram").where(F.contains("_text", F.col("_wanted")))
+        found.append(met.select("_key", "_item"))
+    out = reduce(DataFrame.unionByName, found) if found else texts.join(known, F.lit(False)).select("_key", "_item")
+    return out.select(F.col("_key").alias(key), F.col("_item").alias(item))
 
 
 def ungrounded(answer: Column, source: Column) -> Column:

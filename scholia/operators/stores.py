@@ -73,11 +73,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_side")
 
 
-def conflicts(slots: DataFrame, key: str, owner: str, weekday: str, start: str, end: str) -> DataFrame:
-    """Pairs of an owner's slots on one weekday that overlap; touching ends don't."""
-    a, b = slots.alias("a"), slots.alias("b")
-    met = a.join(b, (F.col(f"a.{owner}") == F.col(f"b.{owner}")) & (F.col(f"a.{weekday}") == F.col(f"b.{weekday}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"b.{start}") < F.col(f"a.{end}")))
-    return met.select(F.col(f"a.{owner}").alias(owner), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"))
+def conflicts(slots: DataFrame, key: str, owner: str, weekday: str, start: str, end: str, width: int = 60) -> DataFrame:
+    """Pairs of an owner's slots on one weekday that overlap; touching ends don't. ``start`` and ``end`` are minutes.
+
+    Slots meet in bins of ``width`` minutes; a pair counts in the bin where the later of both begins, so once. A slot without length
+    overlaps those that it lies inside.
+    """
+    bins = F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width))
+    cut = slots.select(owner, weekday, key, start, end).where(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).withColumn("_bin", F.explode(bins))
+    a, b = cut.alias("a"), cut.alias("b")
+    same = (F.col(f"a.{owner}") == F.col(f"b.{owner}")) & (F.col(f"a.{weekday}") == F.col(f"b.{weekday}")) & (F.col("a._bin") == F.col("b._bin"))
+    over = (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"b.{start}") < F.col(f"a.{end}"))
+    once = F.col("a._bin") == F.floor(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")) / width)
+    return a.join(b, same & over & once).select(F.col(f"a.{owner}").alias(owner), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"))
 
 
 def tiers(names: DataFrame, query: str, key: str, name: str) -> DataFrame:
@@ -109,8 +117,11 @@ def match_answers(exercises: DataFrame, answers: DataFrame, group: str, number:
 def upsert_documents(stored: DataFrame, arriving: DataFrame, key: str, version: list[str], at: Column) -> DataFrame:
     """Stored documents with the arriving ones (key, version columns) put in: a known key keeps its doc_id, a new one gets the next.
 
-    New ids are given by ranges of the key's hash and their counts, so that no task numbers all new documents.
+    New ids are given by ranges of the key's hash and their counts, so that no task numbers all new documents. Of rows that arrive for
+    one key the one of the greatest version columns holds, compared from the first; a row without a key names no document and is left out.
     """
+    newest = arriving.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*version)).alias("_v"))
+    arriving = newest.select(key, *[F.col("_v")[c].alias(c) for c in version])
     known = stored.select(key, "doc_id")
     met = arriving.join(known, key, "left")
     old = met.where("doc_id is not null").select("doc_id", key, *version, at.alias("updated_at"))
@@ -124,11 +135,15 @@ def upsert_documents(stored: DataFrame, arriving: DataFrame, key: str, version:
     return left.unionByName(old).unionByName(new)
 
 
-def append_revision(log: DataFrame, arriving: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The log with each arriving row as its key's next revision: nothing is ever replaced."""
-    last = log.groupBy(key).agg(F.max("revision").alias("_last"))
-    added = arriving.join(last, key, "left").select(key, (F.coalesce("_last", F.lit(0)) + 1).alias("revision"), *columns)
-    return log.select(key, "revision", *columns).unionByName(added)
+def append_revision(log: DataFrame, arriving: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """The log with each arriving row as its key's next revision: nothing is ever replaced.
+
+    Rows that arrive for one key are numbered on in ``order`` (by default that of their columns). A null key is a key.
+    """
+    last = log.groupBy(F.col(key).alias("_key")).agg(F.max("revision").alias("_last"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(*(order or columns)))
+    added = arriving.withColumn("_turn", turn).join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return log.select(key, "revision", *columns).unionByName(added.select(key, (F.coalesce("_last", F.lit(0)) + F.col("_turn")).alias("revision"), *columns))
 
 
 def migrated(stored: DataFrame, legacy: DataFrame, key: str) -> DataFrame:

@@ -114,8 +114,57 @@ def test_places_and_vectors(spark):
         assert [r["vec_id"] for r in best.where(f"query_id = {q}").orderBy("rank").collect()] == want
 
 
-@pytest.mark.parametrize("items", [[], [(1, "ab"), (2, "b"), (3, "ab"), (4, "")]])
-def test_holding(spark, items):
+@pytest.mark.parametrize("items", [[], [(1, "ab"), (2, "b"), (3, "ab"), (4, ""), (5, None)]])
+@pytest.mark.parametrize("most", [0, 100])
+def test_holding(spark, items, most):
     df = spark.createDataFrame([(1, "xaby"), (2, "b"), (3, None), (4, "")], "doc_id long, text string")
-    got = {tuple(r) for r in curation.holding(df, items).collect()}
+    got = {tuple(r) for r in curation.holding(df, spark.createDataFrame(items, "item_id long, text string"), most_broadcast=most).collect()}
     assert got == ({(1, 1), (1, 2), (1, 3), (2, 2)} if items else set())
+
+
+def test_holding_of_any_length(spark):
+    import random
+
+    r = random.Random(8)
+    texts = [(i, "".join(r.choice(["a", "b", " ", " ", "cd", "\n"]) for _ in range(60))) for i in range(150)]
+    items = [(i, t[a : a + r.randrange(1, 25)]) for i, (_, t) in enumerate(texts) for a in [r.randrange(35)]]
+    got = {tuple(x) for x in curation.holding(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), gram=3).collect()}
+    assert got == {(k, i) for k, t in texts for i, x in items if x in t}
+
+
+def test_rows_that_arrive_together(spark):
+    from scholia.operators import stores
+
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, revision int, v string")
+    arriving = spark.createDataFrame([("a", "p"), ("b", "q"), ("a", "o"), (None, "n"), (None, "m")], "k string, v string")
+    got = sorted((r["k"] or "", r["revision"], r["v"]) for r in stores.append_revision(log, arriving, "k", ["v"]).collect())
+    assert got == [("", 1, "m"), ("", 2, "n"), ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "o"), ("a", 4, "p"), ("b", 1, "q")]
+    stored = spark.createDataFrame([("p", 1, "old", 0)], "path string, doc_id long, v string, updated_at int")
+    new = spark.createDataFrame([("p", "1"), ("p", "2"), ("q", "1"), ("q", "3"), (None, "9")], "path string, v string")
+    out = stores.upsert_documents(stored, new, "path", ["v"], F.lit(7))
+    assert sorted((r["path"], r["doc_id"], r["v"], r["updated_at"]) for r in out.collect()) == [("p", 1, "2", 7), ("q", 2, "3", 7)]
+
+
+def test_overlaps_over_bins(spark):
+    import random
+
+    from scholia.operators import stores
+
+    r = random.Random(3)
+    slots = [(i, r.randrange(2), r.randrange(2), b, b + r.choice([0, 1, 30, 59, 60, 61, 200])) for i in range(120) for b in [r.choice([0, 59, 60, 61, r.randrange(300)])]]
+    got = {tuple(x) for x in stores.conflicts(spark.createDataFrame(slots, "k int, o int, d int, s int, e int"), "k", "o", "d", "s", "e").collect()}
+    assert got == {(a[1], a[0], b[0]) for a in slots for b in slots if a[0] < b[0] and a[1:3] == b[1:3] and a[3] < b[4] and b[3] < a[4]}
+
+
+def test_a_later_concept_can_explain(spark):
+    from scholia.functions.definitions import role
+
+    # both concepts are attached, and only the second is explained
+    text = "alpha definition\n\nbeta definition\ntức là x"
+    for concepts, explained in ((["alpha", "beta"], True), (["alpha"], True), (["alpha", "gamma"], True)):
+        got = spark.createDataFrame([(text,)], "t string").select(role(F.col("t"), concepts).alias("r")).first()["r"]
+        assert got["attached"] and got["explained"] is explained, concepts
+    apart = "alpha definition\na\nb\nc\nbeta definition tức là x"
+    for concepts, explained in ((["alpha"], False), (["alpha", "beta"], True), (["alpha", "gamma"], False)):
+        got = spark.createDataFrame([(apart,)], "t string").select(role(F.col("t"), concepts).alias("r")).first()["r"]
+        assert got["attached"] and got["explained"] is explained, concepts
