@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES: tuple[str, ...] = ("scholia.plans.retrieval", "scholia.plans.corpus", "scholia.plans.curation", "scholia.plans.stores", "scholia.plans.audit", "scholia.plans.answers", "scholia.plans.claims", "scholia.plans.review", "scholia.plans.study", "scholia.plans.writes", "scholia.plans.language")
+MODULES: tuple[str, ...] = ("scholia.plans.retrieval", "scholia.plans.corpus", "scholia.plans.curation", "scholia.plans.stores", "scholia.plans.audit", "scholia.plans.answers", "scholia.plans.claims", "scholia.plans.review", "scholia.plans.study", "scholia.plans.writes", "scholia.plans.language", "scholia.plans.gates")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
