@@ -76,9 +76,9 @@ def plain_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Claims of answers whose sentences are tagged in turn."""
-    tagged = F.regexp_replace("text", r"([.!?])(\s|$)", " [S1, S2]$1$2")
-    rows = _turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.posexplode(D.claims(tagged)).alias("n", "c"))
+    """Claims of answers whose clauses and sentences are tagged: [S2] before a comma, [S1; S04] at a sentence's end, of which S2 and S4 are valid."""
+    tagged = F.regexp_replace(F.regexp_replace("text", r",\s", " [S2], "), r"([.!?])(\s|$)", " [S1; S04]$1$2")
+    rows = _turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.posexplode(D.claims(tagged, ["S2", "S4"])).alias("n", "c"))
     return rows.select("conv_id", "turn", "n", "c.claim", F.array_join("c.tags", ",").alias("tags"))
 
 
@@ -113,9 +113,10 @@ SELECT conv_id, turn, {' OR '.join(f"contains(t, '{x}')" for x in D.BROAD)} OR (
 SELECT conv_id, turn, md5(CASE WHEN regexp_matches(t, '^[a-z]\s*([(=+\-*/^<>]|==|!=)') THEN t ELSE upper(t[1]) || t[2:] END) AS answer_md5 FROM a""",
     "legacy_vni_detect": rf"""WITH s AS (SELECT doc_id, text[1:4000] AS s FROM documents) SELECT doc_id, len(regexp_extract_all(s, '{L.MODERN}')) <= 2 AND (len(regexp_extract_all(' ' || regexp_replace(s, '([^\p{{L}}\p{{M}}\p{{N}}_])', '\1 ', 'g') || ' ', '(?i)[^\p{{L}}\p{{M}}\p{{N}}_]' || '{L.VNI_WORDS}'.replace('\b', '') || '[^\p{{L}}\p{{M}}\p{{N}}_]')) >= 2
 OR (regexp_matches(s, '[ñÑöÖ]') AND len(regexp_extract_all(s, '(?i){L.VNI_PAIRS}')) >= 4)) AS vni FROM s""",
-    "citation_claims": r"""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '([.!?])(\s|$)', ' [S1, S2]\1\2', 'g') AS t FROM conversations WHERE role = 'assistant'),
-s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda x: trim(x) <> '' AND contains(x, '[S1, S2]')) AS c FROM a)
-SELECT conv_id, turn, unnest(range(0, len(c)))::INT AS n, trim(regexp_replace(regexp_replace(unnest(c), '\s*\[S1, S2\]', '', 'g'), '^\s*(?:[-*•]|\d+[.)])\s+', '')) AS claim, 'S1,S2' AS tags FROM s""",
+    "citation_claims": r"""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, ',\s', chr(2), 'g'), '([.!?])(\s|$)', chr(1), 'g') AS t FROM conversations WHERE role = 'assistant'),
+m AS (SELECT conv_id, turn, string_split(regexp_replace(t, '\n+', chr(3), 'g'), chr(3)) AS ls FROM a), l AS (SELECT conv_id, turn, j, unnest(regexp_extract_all(ls[j], '[^\x01\x02]*[\x01\x02]')) AS c, unnest(range(0, len(regexp_extract_all(ls[j], '[^\x01\x02]*[\x01\x02]')))) AS k FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS j FROM m)),
+x AS (SELECT *, trim(regexp_replace(regexp_replace(c[:-2], '^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][.)])\s*', ''), '^[ \t\r\n\-*•;,]+|[ \t\r\n\-*•;,]+$', '', 'g')) AS claim FROM l)
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY j, k) - 1)::INT AS n, claim, CASE WHEN right(c, 1) = chr(2) THEN 'S2' ELSE 'S4' END AS tags FROM x WHERE regexp_matches(claim, '[\pL\pN_]')""",
     "ics_export": r"""WITH s AS (SELECT event_id, event_type, ts::DATE + ((3 - isodow(ts) + 7) % 7)::INT AS f, hour(ts) * 30 AS s FROM events)
 SELECT event_id, array_to_string(['BEGIN:VEVENT', 'UID:' || event_id, 'DTSTART:' || strftime(f, '%Y%m%dT') || lpad((s // 60)::VARCHAR, 2, '0') || lpad((s % 60)::VARCHAR, 2, '0') || '00', 'DTEND:' || strftime(f, '%Y%m%dT') || lpad(((s + 90) // 60)::VARCHAR, 2, '0') || lpad(((s + 90) % 60)::VARCHAR, 2, '0') || '00', 'RRULE:FREQ=WEEKLY;UNTIL=20241231', 'SUMMARY:a\; b\, ' || event_type, 'END:VEVENT'], chr(13) || chr(10)) AS event FROM s""",
 }
