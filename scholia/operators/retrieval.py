@@ -6,6 +6,8 @@ corpus statistics are one partial aggregate of a few numbers. Every limit ends i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,17 +93,21 @@ def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id", vector:
     return cosine_all(vectors, queries, key, vector).select(key, "score")
 
 
-def cosine_all(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def cosine_all(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 20_000) -> DataFrame:
     """query_id, key, score of every query (query_id, query) with every vector of its length; zero norms and nulls have none.
 
-    The queries are a stated set, which is broadcast: callers with very many take them in blocks.
+    The queries are a stated set. Their number is asked first; they are broadcast in blocks of some ``block``, each compared with all
+    vectors where these lie, so what a task holds does not grow with the table.
     """
     double = lambda c: F.transform(c, lambda x: x.cast("double"))
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
     asked = queries.select("query_id", double(F.col("query")).alias("q")).withColumn("q_norm", size(F.col("q"))).where("q_norm > 0")
     rows = vectors.where(F.col(vector).isNotNull()).select(key, double(F.col(vector)).alias("v")).withColumn("v_norm", size(F.col("v"))).where("v_norm > 0")
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    met = rows.join(F.broadcast(asked), F.size("v") == F.size("q")).select("query_id", key, (dot / (F.col("v_norm") * F.col("q_norm"))).alias("score"))
+    blocks = -(-queries.count() // block)
+    parts = [asked] if blocks <= 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) for n in range(blocks)]
+    scores = [rows.join(F.broadcast(part), F.size("v") == F.size("q")).select("query_id", key, (dot / (F.col("v_norm") * F.col("q_norm"))).alias("score")) for part in parts]
+    met = reduce(DataFrame.unionByName, scores)
     return met.where(~F.isnan("score")).select("query_id", key, F.round("score", 6).alias("score"))
 
 

@@ -108,6 +108,8 @@ def test_places_and_vectors(spark):
         assert {(r["k"], r["_i"], r["_n"]) for r in got if r["g"] == g} == {(k, i, len(ks)) for i, k in enumerate(ks)}
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)] + [(99, None)], "vec_id long, embedding array<float>")
     scored = retrieval.cosine_all(vectors, vectors.where("vec_id < 3").selectExpr("vec_id AS query_id", "embedding AS query"))
+    blocks = retrieval.cosine_all(vectors, vectors.where("vec_id < 3").selectExpr("vec_id AS query_id", "embedding AS query"), block=1)
+    assert sorted(blocks.collect()) == sorted(scored.collect())
     best = retrieval.best_for_each(scored, 5, "vec_id", parts=3)
     for q in range(3):
         want = [r["vec_id"] for r in scored.where(f"query_id = {q}").orderBy(F.desc("score"), "vec_id").limit(5).collect()]
