@@ -100,6 +100,8 @@ def _state(shift: int) -> str:
 
 
 ORACLES = {
+    "flash_cards": r"""WITH f AS (SELECT doc_id, regexp_extract(text, '(?m)^\s*([\p{Lu}][\p{L} ]{2,40}?)\s+(?:is|are|means|là|ist|est|es)\s+([^.\n]{10,200})\.', ['term', 'meaning']) AS c FROM documents)
+SELECT doc_id, c.term AS term, c.meaning AS meaning FROM f WHERE c.term <> '' ORDER BY doc_id LIMIT 50""",
     "verdict_parse": f"SELECT doc_id, {_state(0)} AS state FROM documents JOIN labels USING (doc_id)",
     "judge_consensus": f"SELECT doc_id, {_state(0)} = 'supported' AND {_state(4)} = 'supported' AS kept FROM documents JOIN labels USING (doc_id)",
     "evidence_catalog": r"""WITH l AS (SELECT doc_id, n, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)),

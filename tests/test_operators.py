@@ -99,7 +99,8 @@ def test_dialogue(spark):
     assert one(spark, D.cleaned_answer, "<think>no</think> the answer [S1] .\nSources: a\n- b") == "The answer."
     assert one(spark, D.cleaned_answer, "the answer [S1] .\nSources: a\nb") == "The answer.\n\nb"  # a source list's lines begin with a mark
     got = one(spark, D.claims, "First fact [S1, S2]. No source here.\n- Second fact [S2][S3].")
-    assert [(c["claim"], c["tags"]) for c in got] == [("First fact.", ["S1", "S2"]), ("Second fact.", ["S2", "S3"])]
+    # the text before a marker, and the whole clause where a marker has nothing of its own
+    assert [(c["claim"], c["tags"]) for c in got] == [("First fact", ["S1", "S2"]), ("Second fact", ["S2"]), ("Second fact.", ["S3"])]
     assert one(spark, D.table_rows, "x\n| a | b |\n|---|---|\n| 1 | 2 |") == [["a", "b"], ["1", "2"]]
 
 
