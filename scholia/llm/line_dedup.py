@@ -13,7 +13,7 @@ interval; its first position stays, and the later ones start copies. The shortes
 up likewise; copies are unions of the two kinds, so every maximal run is covered to its last line (see the tests' brute force).
 
 Rows: a null text stays null; lines without a word stay; rows that repeat an id and a text are one document, each row of which
-gets its result; null ids sort last; empty tables give no rows; columns other than doc_id and text are carried along by
+gets its result; ids of any type, null ids sort last (with the largest long, if that is an id); empty tables give no rows; columns other than doc_id and text are carried along by
 ``dedup_lines`` and not read.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.llm.common import WORD, cut
 
@@ -28,7 +29,13 @@ _LAST = (1 << 63) - 1
 
 
 def _keys(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("d"), F.xxhash64(docs["text"]).alias("t")
+    """The document's place, null ids behind all others, and the hash of its text. Ids that are no whole numbers are ordered as texts."""
+    own = docs["doc_id"]
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        place = F.coalesce(own.cast("long"), F.lit(_LAST))
+    else:
+        place = F.struct(own.isNull().alias("none"), F.coalesce(own.cast("string"), F.lit("")).alias("id"))
+    return place.alias("d"), F.xxhash64(docs["text"]).alias("t")
 
 
 def positions(docs: DataFrame) -> DataFrame:

@@ -53,3 +53,18 @@ def test_odd_rows(odd, none):
     assert len({(r["text"], r["n_removed"]) for r in got if r["doc_id"] == 4}) == 1
     assert by[6]["n_removed"] == 2300 and by[5]["n_removed"] == 0
     assert L.dedup_lines(none).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    """Text ids in the order of the numbers give the same lines; with null ids, and decimals."""
+    from scholia.llm import line_dedup
+
+    run = "one two three four five six\nseven eight nine ten eleven"
+    data = [(1, f"a start\n{run}\nan end"), (2, f"{run}\nmore of it"), (None, run), (3, "alone"), (10, f"x\n{run}"), (None, None)]
+    numbers = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted((r["doc_id"] or 99, r["text"] or "", r["n_removed"]) for r in line_dedup.dedup_lines(numbers).collect())
+    assert [w[2] for w in want] == [0, 2, 0, 2, 0, 2]
+    for cast in ("lpad(cast(doc_id AS string), 3, '0')", "cast(doc_id AS decimal(10, 2))", "cast(doc_id AS short)"):
+        other = numbers.selectExpr(f"{cast} AS doc_id", "text") if "decimal" not in cast else numbers.where("doc_id < 10 OR doc_id IS NULL").selectExpr(f"{cast} AS doc_id", "text")
+        got = sorted((int(r["doc_id"]) if r["doc_id"] is not None else 99, r["text"] or "", r["n_removed"]) for r in line_dedup.dedup_lines(other).collect())
+        assert got == [w for w in want if "decimal" not in cast or w[0] != 10]
