@@ -1,8 +1,8 @@
 """Benchmark decontamination: benchmark items found in documents in spite of edits.
 
 Texts are lower-cased and reduced to words (runs of ASCII letters and digits and of all bytes above ASCII) with one space after
-each. The CGK embedding walks over a text's bytes: at each step it writes the class of the byte it stands on (a letter, or one of
-six classes of other bytes), and a random function of step and class says whether it moves on; texts at a small edit distance then differ in few steps, as the walks fall in step again soon
+each. The CGK embedding walks over a text's bytes: at each step it writes the class of the byte it stands on (a space, a letter or one
+of three of digits; beyond ASCII one of 32 that the whole character and the byte's place in it give), and a random function of step and class says whether it moves on; texts at a small edit distance then differ in few steps, as the walks fall in step again soon
 after an edit. Under one edit in five bytes the far end of a walk over a whole item agrees no more than by chance, so each of
 ``REPETITIONS`` repetitions, with its own random function, embeds an item-sized window by walks of ``STEPS`` steps that begin all
 along it: wherever the repetition's random set of byte pairs, a quarter of them all, says so. ``SAMPLED`` steps of each walk are
@@ -40,6 +40,10 @@ REPETITIONS, STEPS, SAMPLED, OPEN, VOTES, EARLY, CELL, BAND, SHORT = 8, 36, 8, 0
 PIECE = 1 << 18
 #: Walks that are taken together, so that they stay in a core's cache.
 TOGETHER = 1 << 15
+#: Hits of walks that are expanded together.
+HITS = 1 << 21
+#: A band's number and a cell's fit in 36 bits: bands have 9 bytes or more, and an item fewer than 2 ** 20.
+FAR = np.int64(1) << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -60,11 +64,27 @@ def plain(text: str | None) -> bytes:
     return words(np.frombuffer(low, np.uint8))[0].tobytes().rstrip(b" ")
 
 
-#: Classes of bytes, of five bits: a space, each letter, three of digits and two of bytes above ASCII.
+#: Classes of bytes, of five bits: a space, each letter, three of digits. Bytes above ASCII have classes of their characters.
 _CLASS = np.zeros(256, np.uint16)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[48:58] = 27 + np.arange(10) % 3
-_CLASS[128:] = 30 + np.arange(128) % 2
+
+
+def classes(text: np.ndarray) -> np.ndarray:
+    """Each byte's class. A character beyond ASCII gives each of its bytes another, so a walk's bits do not depend on the script."""
+    out = _CLASS.take(text)
+    beyond = text >= 128
+    if beyond.any():
+        begins = (text & 0xC0) != 0x80
+        begins[0] = True  # a piece may begin within a character
+        first = np.flatnonzero(begins)
+        own = np.cumsum(begins) - 1
+        place = (np.arange(len(text)) - first[own]).astype(np.uint64) & np.uint64(3)
+        character = np.bitwise_xor.reduceat(text.astype(np.uint64) << np.uint64(8) * place, first)
+        mixed = ((character[own[beyond]] << np.uint64(2) | place[beyond]) + np.uint64(1)) * MIX
+        mixed = (mixed ^ mixed >> np.uint64(29)) * MIX
+        out[beyond] = (mixed >> np.uint64(59)).astype(np.uint16)
+    return out
 
 
 @dataclass
@@ -111,7 +131,7 @@ def ahead(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """At each place of the text two bytes and, with room for walks to end in, three classes."""
     longer = np.concatenate([text, np.zeros(STEPS + 4, np.uint8)])
     pairs = longer[: len(text)].astype(np.uint16) << np.uint16(8) | longer[1 : len(text) + 1]
-    c = _CLASS.take(longer)
+    c = classes(longer)
     return pairs, c[:-2] << np.uint16(10) | c[1:-1] << np.uint16(5) | c[2:]
 
 
@@ -174,9 +194,14 @@ def index(items: list[str | None]) -> Index:
     return Index(texts, sizes, reps, keys, owners, places, filters, votes, short, int(sizes.max(initial=0)))
 
 
+def _width(ix: Index, pair: np.ndarray) -> np.ndarray:
+    """The width of the bands of places, by the pair's item."""
+    return np.maximum((BAND * ix.sizes[pair % len(ix.texts)]).astype(np.int64), 1)
+
+
 def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(document, item, lowest and highest place where it would begin); ``starts``: where each document of the text begins."""
-    found = []
+    votes, size = [[], []], [0, 0]
     pairs, threes = ahead(text)
     with np.errstate(over="ignore"):
         for rep, keys, items, places, known in zip(ix.repetitions, ix.keys, ix.items, ix.places, ix.filters, strict=True):
@@ -187,25 +212,29 @@ def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[in
             begin, key = begin[maybe], key[maybe]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(hi > lo)
-            many = (hi - lo)[hit]
-            entry = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            own = np.repeat(begin[hit], many)
-            document = np.searchsorted(starts, own, "right") - 1
-            found.append(np.stack([document * len(ix.texts) + items[entry], own - places[entry], places[entry] // CELL]))
-    if not found:
-        return []
-    pair, at, cell = np.concatenate(found, axis=1)
-    band = np.maximum((BAND * ix.sizes[pair % len(ix.texts)]).astype(np.int64), 1)
-    # a band's number and a cell's fit in 36 bits: bands have 9 bytes or more, and an item fewer than 2 ** 20
-    far, spans = (np.int64(1) << 19), []
-    for half in (True, False):  # bands that overlap by half
-        shift = band // 2 * half
-        rows = np.unique(pair << 36 | (at + shift) // band + far << 16 | cell)
+            ends = np.cumsum((hi - lo)[hit])
+            while len(hit):  # at most ``HITS`` at a time, or those of one walk; each slice leaves its distinct votes only
+                some = max(1, int(np.searchsorted(ends, HITS, "right")))
+                now, hit, ends = hit[:some], hit[some:], ends[some:] - ends[some - 1]
+                many = (hi - lo)[now]
+                entry = np.repeat(lo[now], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                own = np.repeat(begin[now], many)
+                document = np.searchsorted(starts, own, "right") - 1
+                pair, at, cell = document * len(ix.texts) + items[entry], own - places[entry], places[entry] // CELL
+                width = _width(ix, pair)
+                for half in (0, 1):  # bands that overlap by half
+                    rows = np.unique(pair << 36 | (at + width // 2 * half) // width + FAR << 16 | cell)
+                    votes[half].append(rows)
+                    size[half] += len(rows)
+                    if size[half] > 2 * HITS:
+                        votes[half], size[half] = [np.unique(np.concatenate(votes[half]))], 0
+    spans = []
+    for half in (0, 1):
+        rows = np.unique(np.concatenate(votes[half])) if votes[half] else np.empty(0, np.int64)
         first = np.flatnonzero(np.r_[True, rows[1:] >> 16 != rows[:-1] >> 16]) if len(rows) else rows
-        votes = np.diff(np.r_[first, len(rows)])
-        good = rows[first[votes >= ix.votes[(rows[first] >> 36) % len(ix.texts)]]]
-        width = np.maximum((BAND * ix.sizes[(good >> 36) % len(ix.texts)]).astype(np.int64), 1)
-        low = ((good >> 16 & 0xFFFFF) - far) * width - width // 2 * half
+        good = rows[first[np.diff(np.r_[first, len(rows)]) >= ix.votes[(rows[first] >> 36) % len(ix.texts)]]]
+        width = _width(ix, good >> 36)
+        low = ((good >> 16 & 0xFFFFF) - FAR) * width - width // 2 * half
         spans += list(zip((good >> 36).tolist(), low.tolist(), (low + width).tolist(), strict=True))
     out: list[tuple[int, int, int, int]] = []
     for pair, low, high in sorted(spans):  # bands that touch are verified together

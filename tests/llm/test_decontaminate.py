@@ -93,6 +93,44 @@ def test_recall_of_edited_characters(rate, spread):
     assert len(want) > 200 and len(got & want) >= 0.95 * len(want)
 
 
+SCRIPTS = {"han": (0x4E00, 0x9FFF, ""), "cyrillic": (0x430, 0x44F, " "), "greek": (0x3B1, 0x3C9, " "), "hangul": (0xAC00, 0xD7A3, " "), "thai": (0xE01, 0xE2E, ""), "emoji": (0x1F300, 0x1F5FF, "")}
+
+
+def in_script(r, name, size):
+    first, last, gap = SCRIPTS[name]
+    return "".join(gap if gap and i % 7 == 6 else chr(r.randint(first, last)) for i in range(size))
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_scripts_beyond_ascii(name):
+    """Items of other scripts are found in spite of edits, and texts that share nothing with them are no candidates."""
+    r = random.Random(5)
+    items = [in_script(r, name, 150) for _ in range(300)]
+    ix = D.index(items)
+    other = D.plain(in_script(r, name, 20000))
+    assert len(D.candidates(ix, np.frombuffer(other, np.uint8), np.array([0]))) <= 3
+    texts = []
+    for item in items[:60]:
+        out = list(item)
+        for at in r.sample(range(len(out)), 22):
+            out[at] = r.choice(["", in_script(r, name, 1), in_script(r, name, 2)])
+        texts.append(in_script(r, name, 200) + "".join(out) + in_script(r, name, 200))
+    got = {(k, i) for k, i, *_ in D.hits(ix, texts, 0.2)}
+    want = {(i, i) for i in range(60) if near(items[i], texts[i])}
+    assert got <= want and len(want) > 40 and len(got) >= 0.95 * len(want)
+
+
+def test_hits_in_slices(monkeypatch):
+    """Items that share a passage which a text repeats: the same candidates, however few hits are expanded together."""
+    items, texts = passages(0.05)
+    shared = texts[0][:200]
+    ix = D.index([f"{shared} {t}" for _, t in items])
+    text = np.frombuffer(D.plain(" ".join([shared, *texts[:20]] * 3)), np.uint8)
+    whole = D.candidates(ix, text, np.array([0]))
+    monkeypatch.setattr(D, "HITS", 50)
+    assert len(whole) > 20 and D.candidates(ix, text, np.array([0])) == whole
+
+
 def test_passages_that_lack_their_first_words():
     items, _ = passages(0.0)
     cut = [" ".join(t.split()[2:]) for _, t in items]
