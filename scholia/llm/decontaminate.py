@@ -73,17 +73,18 @@ _CLASS[48:58] = 27 + np.arange(10) % 3
 def classes(text: np.ndarray) -> np.ndarray:
     """Each byte's class. A character beyond ASCII gives each of its bytes another, so a walk's bits do not depend on the script."""
     out = _CLASS.take(text)
-    beyond = text >= 128
-    if beyond.any():
-        begins = (text & 0xC0) != 0x80
+    where = np.flatnonzero(text >= 128)
+    if len(where):
+        own = text[where]
+        begins = (own & 0xC0) != 0x80
+        begins[1:] |= where[1:] - where[:-1] > 1
         begins[0] = True  # a piece may begin within a character
         first = np.flatnonzero(begins)
-        own = np.cumsum(begins) - 1
-        place = (np.arange(len(text)) - first[own]).astype(np.uint64) & np.uint64(3)
-        character = np.bitwise_xor.reduceat(text.astype(np.uint64) << np.uint64(8) * place, first)
-        mixed = ((character[own[beyond]] << np.uint64(2) | place[beyond]) + np.uint64(1)) * MIX
-        mixed = (mixed ^ mixed >> np.uint64(29)) * MIX
-        out[beyond] = (mixed >> np.uint64(59)).astype(np.uint16)
+        character = np.cumsum(begins) - 1
+        place = (np.arange(len(own)) - first[character]).astype(np.uint64) & np.uint64(3)
+        codes = np.bitwise_xor.reduceat(own.astype(np.uint64) << np.uint64(8) * place, first)
+        mixed = ((codes[character] << np.uint64(2) | place) + np.uint64(1)) * MIX
+        out[where] = ((mixed ^ mixed >> np.uint64(29)) * MIX >> np.uint64(59)).astype(np.uint16)
     return out
 
 
@@ -194,6 +195,12 @@ def index(items: list[str | None]) -> Index:
     return Index(texts, sizes, reps, keys, owners, places, filters, votes, short, int(sizes.max(initial=0)))
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct numbers of all parts."""
+    rows = np.sort(np.concatenate([np.empty(0, np.int64), *parts]))
+    return rows[np.diff(rows, prepend=rows[:1] - 1) != 0]
+
+
 def _width(ix: Index, pair: np.ndarray) -> np.ndarray:
     """The width of the bands of places, by the pair's item."""
     return np.maximum((BAND * ix.sizes[pair % len(ix.texts)]).astype(np.int64), 1)
@@ -213,7 +220,7 @@ def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[in
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(hi > lo)
             ends = np.cumsum((hi - lo)[hit])
-            while len(hit):  # at most ``HITS`` at a time, or those of one walk; each slice leaves its distinct votes only
+            while len(hit):  # at most ``HITS`` at a time, or those of one walk; of many votes the distinct ones stay
                 some = max(1, int(np.searchsorted(ends, HITS, "right")))
                 now, hit, ends = hit[:some], hit[some:], ends[some:] - ends[some - 1]
                 many = (hi - lo)[now]
@@ -223,14 +230,13 @@ def candidates(ix: Index, text: np.ndarray, starts: np.ndarray) -> list[tuple[in
                 pair, at, cell = document * len(ix.texts) + items[entry], own - places[entry], places[entry] // CELL
                 width = _width(ix, pair)
                 for half in (0, 1):  # bands that overlap by half
-                    rows = np.unique(pair << 36 | (at + width // 2 * half) // width + FAR << 16 | cell)
-                    votes[half].append(rows)
-                    size[half] += len(rows)
+                    votes[half].append(pair << 36 | (at + width // 2 * half) // width + FAR << 16 | cell)
+                    size[half] += len(pair)
                     if size[half] > 2 * HITS:
-                        votes[half], size[half] = [np.unique(np.concatenate(votes[half]))], 0
+                        votes[half], size[half] = [_distinct(votes[half])], 0
     spans = []
     for half in (0, 1):
-        rows = np.unique(np.concatenate(votes[half])) if votes[half] else np.empty(0, np.int64)
+        rows = _distinct(votes[half])
         first = np.flatnonzero(np.r_[True, rows[1:] >> 16 != rows[:-1] >> 16]) if len(rows) else rows
         good = rows[first[np.diff(np.r_[first, len(rows)]) >= ix.votes[(rows[first] >> 36) % len(ix.texts)]]]
         width = _width(ix, good >> 36)
