@@ -52,3 +52,29 @@ def test_a_long_text_is_compared_whole():
     exact, ratio, differences = A.compared(text, other)
     assert not exact and ratio == 2 * (len(text) - 40) / (2 * len(text))
     assert [d[1] for d in differences] == at and all(d[0] == "replace" for d in differences)
+
+
+def test_ranges_by_either_search(monkeypatch):
+    """Ranges that are scanned and ranges that are searched by sums give the same blocks."""
+    r = random.Random(5)
+    for n in (3, 40, 200):
+        left, right = ("".join(r.choice("abcd") for _ in range(n)) for _ in range(2))
+        found = []
+        for limit in (0, 30, 1 << 24):
+            monkeypatch.setattr(A, "SCANNED", limit)
+            found.append(A.compared(left, right))
+        assert found[0] == found[1] == found[2] == plain(left, right)
+
+
+def test_many_small_blocks_take_few_searches(monkeypatch):
+    """Unlike texts have many short blocks: ranges of a few thousand characters are not sorted for each."""
+    monkeypatch.setattr(A.Matcher, "_first", lambda *a: 1 / 0)
+    r = random.Random(6)
+    left, right = ("".join(r.choice("etaoinshrdlu ") for _ in range(3000)) for _ in range(2))
+    exact, ratio, differences = A.compared(left, right)
+    assert not exact and 0 < ratio < 1 and len(differences) > 100
+
+
+def test_pairs_that_lie_together_are_dealt(spark):
+    pairs = spark.createDataFrame([(i, f"left {i}", f"right {i}") for i in range(400)], "k int, a string, b string").coalesce(1)
+    assert A.agreement(pairs, "k", "a", "b").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
