@@ -59,11 +59,19 @@ def gate(chunks: DataFrame, files: DataFrame, pages: DataFrame, reviews: DataFra
     at = ["filename", "page"]
     out = excluded.select(*at).distinct().withColumn("_excluded", F.lit(True))
     native = pages.where(F.length(stripped(F.coalesce("native_text", F.lit("")))) >= least).select(*at, "native_text")
-    good = reviews.where(transcript_fault(F.struct(*[c.split()[0] for c in REVIEW.replace("array<struct<status: string, text: string>>", "x").split(", ")])).isNull()).select(F.col("source_hash").alias("file_hash"), "page", F.col("text").alias("_read"))
-    met = chunks.join(files.select("filename", "current_hash", "is_scanned"), "filename", "left").join(out, at, "left").join(native, at, "left").join(good, ["file_hash", "page"], "left")
-    chunk, page = _folded(F.col("text")), F.col("native_text")
-    is_native = ~F.coalesce(F.col("is_scanned"), F.lit(False)) & F.coalesce(F.contains(_folded(page), chunk) | F.contains(_folded(cleaned(page)), chunk), F.lit(False))
-    is_read = F.coalesce((_folded(F.col("_read")) != "") & F.contains(_folded(F.col("_read")), chunk), F.lit(False))
+    good = reviews.where(transcript_fault(F.struct(*[c.split()[0] for c in REVIEW.replace("array<struct<status: string, text: string>>", "x").split(", ")])).isNull())
+    # copies have one hash: transcripts that say the same are one, so that no chunk meets one for each copy
+    good = good.select(F.col("source_hash").alias("file_hash"), "page", _folded(F.col("text")).alias("_read")).where("_read <> ''").distinct()
+    near = chunks.select(key, *at, "text", "file_hash").withColumn("_chunk", _folded(F.col("text"))).join(files.select("filename", "current_hash", "is_scanned"), "filename", "left").join(out, at, "left").join(native, at, "left")
+    kept = [key, *at, "file_hash", "current_hash", "_excluded", "_chunk"]
+    page, chunk = F.col("native_text"), F.col("_chunk")
+    near = near.withColumn("_native", F.coalesce(~F.coalesce(F.col("is_scanned"), F.lit(False)) & (chunk != "") & page.isNotNull(), F.lit(False)))
+    near = near.withColumn("_given", F.col("_native") & F.coalesce(F.contains(_folded(page), chunk), F.lit(False)))
+    # cleaning costs most, so it gets null for every page that is settled without
+    near = near.select(*kept, "_given", F.when(F.col("_native") & ~F.col("_given"), page).alias("_raw"))
+    near = near.select(*kept, (F.col("_given") | F.coalesce(F.col("_raw").isNotNull() & F.contains(_folded(cleaned(F.col("_raw"))), chunk), F.lit(False))).alias("_is_native"))
+    met = near.join(good, ["file_hash", "page"], "left")
+    is_read = F.coalesce(F.contains(F.col("_read"), chunk), F.lit(False))
     reason = (
         F.when(forbidden(F.col("filename"), names), "0 forbidden_source")
         .when(F.col("current_hash").isNull(), "0 source_missing")
@@ -71,7 +79,7 @@ def gate(chunks: DataFrame, files: DataFrame, pages: DataFrame, reviews: DataFra
         .when(chunk == "", "0 blank_text")
         .when(F.col("current_hash") != F.col("file_hash"), "0 source_changed")
         .when(F.col("_excluded"), "0 page_excluded")
-        .when(is_native, "1 native")
+        .when(F.col("_is_native"), "1 native")
         .when(is_read, "2 verified_transcript")
         .otherwise("3 no_verified_text")
     )

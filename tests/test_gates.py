@@ -88,3 +88,39 @@ def test_enumeration(spark):
     assert C.total(templates) == 8 and got == [cycle[i % 8] for i in range(17)]
     other = C.enumerated(rows.repartition(5), "i", templates).orderBy("i").collect()
     assert [(r["template"], r["text"], r["answer"]) for r in other] == got
+
+
+def gated(spark, copies):
+    """A gate over as many files of one text, each read once, every other of them a scan."""
+    text, h = "one text that is long enough to be native", "a" * 64
+    n = spark.range(copies).select(F.col("id").alias("chunk_id"), F.concat(F.lit("f"), "id").alias("filename"), F.lit(1).alias("page"))
+    chunks = n.select("*", F.lit("long  enough").alias("text"), F.lit(h).alias("file_hash"))
+    files = n.select("filename", F.lit(h).alias("current_hash"), (F.col("chunk_id") % 2 == 0).alias("is_scanned"))
+    good = F.struct(F.lit(True).alias("is_verified"), F.lit(False).alias("handwriting_suspected"), F.lit("a").alias("verified_by"), F.lit("t").alias("verified_at"), F.lit(None).cast("string").alias("review_schema"), F.lit(None).cast("array<struct<status: string, text: string>>").alias("regions"), F.lit(text).alias("text"))
+    reviews = n.select(F.lit(h).alias("source_hash"), "page", good.alias("r")).select("source_hash", "page", "r.*")
+    return G.gate(chunks, files, n.select("filename", "page", F.lit(text).alias("native_text")), reviews, n.select("filename", "page").limit(0), [])
+
+
+def test_copies_do_not_meet_each_others_transcripts(spark):
+    got = gated(spark, 300)
+    assert {(r["chunk_id"] % 2, r["allowed"], r["reason"]) for r in got.collect()} == {(0, True, "verified_transcript"), (1, True, "native")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = gated(spark, 300)
+        plan.collect()
+        nodes, made = [plan._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+                made.append(node.metrics().apply("numOutputRows").value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert made and max(made) <= 300  # 90,000 where each chunk meets the transcript of each copy
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_settled_page_is_not_cleaned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "cleaned", lambda c: seen.append(str(c)) or F.coalesce(c, F.lit("")))
+    gated(spark, 4).collect()
+    assert len(seen) == 1 and "_raw" in seen[0]
