@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of new keys that are numbered apart, less one.
+RANGES = 511
+
 
 def session_list(turns: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role", limit: int = 20, offset: int = 0) -> DataFrame:
     """Sessions with a turn: turns, last turn, title (first question, 45 characters at a word's end); a page of them, those of most turns first."""
@@ -117,7 +120,8 @@ def match_answers(exercises: DataFrame, answers: DataFrame, group: str, number:
 def upsert_documents(stored: DataFrame, arriving: DataFrame, key: str, version: list[str], at: Column) -> DataFrame:
     """Stored documents with the arriving ones (key, version columns) put in: a known key keeps its doc_id, a new one gets the next.
 
-    New ids are given by ranges of the key's hash and their counts, so that no task numbers all new documents. Of rows that arrive for
+    New ids follow the order of the keys. They are given by ranges between ``RANGES`` new keys of the lowest hashes and by the ranges'
+    counts, so that no task numbers all new documents. Of rows that arrive for
     one key the one of the greatest version columns holds, compared from the first; a row without a key names no document and is left out.
     """
     newest = arriving.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*version)).alias("_v"))
@@ -126,7 +130,9 @@ def upsert_documents(stored: DataFrame, arriving: DataFrame, key: str, version:
     met = arriving.join(known, key, "left")
     old = met.where("doc_id is not null").select("doc_id", key, *version, at.alias("updated_at"))
     last = stored.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("last"))
-    fresh = met.where("doc_id is null").withColumn("_b", F.pmod(F.xxhash64(key), F.lit(4096)))
+    fresh = met.where("doc_id is null")
+    edges = fresh.select(key).orderBy(F.xxhash64(key), key).limit(RANGES).agg(F.collect_set(key).alias("_edges"))
+    fresh = fresh.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col(key)))).drop("_edges")
     before = fresh.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
     place = F.row_number().over(Window.partitionBy("_b").orderBy(key))
     new = fresh.withColumn("_p", place).join(F.broadcast(before), "_b").crossJoin(F.broadcast(last))

@@ -148,10 +148,7 @@ def document_upsert(spark: SparkSession, d: str) -> DataFrame:
     stored = docs.where("doc_id % 3 <> 0").withColumn("updated_at", F.lit(1))
     arriving = docs.where("doc_id % 2 = 0").select("path", F.md5(F.col("digest").cast("binary")).alias("digest"))
     twice = arriving.unionByName(arriving.where("path like '%4'").withColumn("digest", F.lit("")))  # an older version of some
-    out = stores.upsert_documents(stored, twice, "path", ["digest"], F.lit(2))
-    # a new id depends on the hash of the path: upsert_ids compares that new ones are distinct and without gaps
-    old = stored.select("path", F.col("doc_id").alias("_old"))
-    return out.join(old, "path", "left").select("path", "digest", "updated_at", F.when(F.col("_old").isNotNull(), F.col("doc_id")).alias("doc_id"))
+    return stores.upsert_documents(stored, twice, "path", ["digest"], F.lit(2)).select("path", "digest", "updated_at", "doc_id")
 
 
 def upsert_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +260,7 @@ SELECT source, round(s, 6) AS covered, s >= 0.75 OR round(c, 6) >= 0.52 AS relev
 WHEN k = 5 THEN CASE contains(text, 'the ')::INT + contains(text, 'of ')::INT WHEN 0 THEN 'low_relevance' WHEN 1 THEN 'partial_evidence' ELSE '' END WHEN NOT r THEN 'low_relevance' ELSE '' END AS reason FROM k""",
     "eligible_chunks": "SELECT doc_id, doc_id % 40 AS page FROM documents WHERE lang IN ('en', 'fr') AND n_chars BETWEEN 150 AND 4000 AND doc_id % 40 BETWEEN 2 AND 30 AND text NOT LIKE '%|%' AND (lower(text) LIKE '%tion%' OR lower(text) LIKE '%ment%')",
     "document_upsert": """WITH d AS (SELECT 'f' || doc_id AS path, doc_id, md5(text) AS digest FROM documents), s AS (SELECT * FROM d WHERE doc_id % 3 <> 0), n AS (SELECT path, md5(digest) AS digest FROM d WHERE doc_id % 2 = 0)
-SELECT path, coalesce(n.digest, s.digest) AS digest, CASE WHEN n.path IS NULL THEN 1 ELSE 2 END AS updated_at, s.doc_id FROM s FULL JOIN n USING (path)""",
+SELECT path, coalesce(n.digest, s.digest) AS digest, CASE WHEN n.path IS NULL THEN 1 ELSE 2 END AS updated_at, coalesce(s.doc_id, (SELECT max(doc_id) FROM s) + row_number() OVER (PARTITION BY s.doc_id IS NULL ORDER BY path)) AS doc_id FROM s FULL JOIN n USING (path)""",
     "upsert_ids": "WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id FROM documents WHERE doc_id % 6 = 0) SELECT (SELECT count(*) FROM s) + (SELECT count(*) FROM n) AS rows, (SELECT count(*) FROM s) + (SELECT count(*) FROM n) AS ids, (SELECT max(doc_id) FROM s) + (SELECT count(*) FROM n) AS last",
     "revision_log": "WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision, event_type FROM events) SELECT user_id, revision::INT AS revision, event_type FROM l UNION ALL SELECT user_id, ((SELECT max(revision) FROM l m WHERE m.user_id = l.user_id) + row_number() OVER (PARTITION BY user_id ORDER BY revision))::INT, event_type FROM l WHERE revision <= 3 AND event_type <> 'view'",
     "legacy_migration": "SELECT 'legacy_' || conv_id AS conv_id, turn, role FROM conversations",

@@ -170,3 +170,21 @@ def test_a_later_concept_can_explain(spark):
     for concepts, explained in ((["alpha"], False), (["alpha", "beta"], True), (["alpha", "gamma"], False)):
         got = spark.createDataFrame([(apart,)], "t string").select(role(F.col("t"), concepts).alias("r")).first()["r"]
         assert got["attached"] and got["explained"] is explained, concepts
+
+
+def test_new_documents_are_numbered_in_the_order_of_their_paths(spark, monkeypatch):
+    stored = spark.createDataFrame([("b", 7, "x", 1)], "path string, doc_id long, digest string, updated_at int")
+    arriving = spark.createDataFrame([(p, "y") for p in ["z", "a", "b", "é", "aa", "c", "B"] + [f"n{i}" for i in range(40)]], "path string, digest string")
+    want = {p: 8 + i for i, p in enumerate(sorted({"z", "a", "é", "aa", "c", "B", *[f"n{i}" for i in range(40)]}))} | {"b": 7}
+    for ranges in (1, 5, 511):
+        monkeypatch.setattr(stores, "RANGES", ranges)
+        got = stores.upsert_documents(stored, arriving, "path", ["digest"], F.lit(2)).collect()
+        assert {r["path"]: r["doc_id"] for r in got} == want
+
+
+def test_the_query_gives_new_documents_ids(spark, tmp_path):
+    from scholia.plans import language
+
+    spark.range(30).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["path"]: r["doc_id"] for r in language.document_upsert(spark, str(tmp_path)).collect()}
+    assert got == {f"f{i}": i for i in range(30) if i % 3} | {p: 30 + k for k, p in enumerate(sorted(f"f{i}" for i in range(0, 30, 6)))}
