@@ -220,3 +220,28 @@ def test_release_is_immutable(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.release(rows, f"{tmp_path}/r")
     assert {tuple(r) for r in sinks.digest(rows).collect()} == {tuple(r) for r in sinks.digest(rows.repartition(3)).collect()}
+
+
+def test_limited_cosines_are_those_of_all(spark):
+    """A least score and a best number lose no pair, ties of rounded scores among them, and few more rows leave the comparison."""
+    import random
+
+    r = random.Random(9)
+    vector = lambda: [float(r.choice([-1, 0, 1])) for _ in range(6)]
+    df = spark.createDataFrame([(i, vector()) for i in range(3000)] + [(3000, [1.0, 2.0]), (3001, None), (3002, [0.0] * 6), (3003, [float("inf")] + [0.0] * 5)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    every = retrieval.cosine_all(df, asked, block=16).cache()
+    assert rows(retrieval.cosine_all(df, asked, block=7, least=0.3)) == rows(every.where("score >= 0.3"))
+    limited = retrieval.cosine_all(df, asked, best=5)
+    assert rows(retrieval.best_for_each(limited, 5, "vec_id")) == rows(retrieval.best_for_each(every, 5, "vec_id"))
+    assert limited.count() < every.count() / 2
+
+
+def test_scores_are_computed_once_for_a_fusion(spark, tmp_path):
+    from scholia.plans import retrieval as plans
+
+    spark.range(60).selectExpr("id AS doc_id", "concat('there station ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).selectExpr("id AS vec_id", "array(cast(id + 1 AS double), 1.0D) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = plans.rrf_weighted(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and out.count() == 120
