@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,8 @@ from pyspark.sql import types as T
 from scholia.functions import spans
 from scholia.functions.text import paragraphs
 
-_CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType())]))
+#: Characters of pages whose chunks leave a task together.
+HELD = 1 << 20
 _SPACE = " \t\n\r\f\v "
 
 
@@ -32,14 +35,29 @@ def chunk_bounds(text: str, size: int = 1200, overlap: int = 200) -> list[tuple[
 
 
 def chunk(pages: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
-    """key, chunk_index, char_start, char_end, text: one row a chunk of the trimmed page. The scan is sequential, so it is a vectorised UDF."""
+    """key, chunk_index, char_start, char_end, text: one row a chunk of the trimmed page. The scan is sequential, so it runs on Arrow batches; a task holds the chunks of ``HELD`` characters of pages, or of one page."""
+    fields = [T.StructField("chunk_index", T.IntegerType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType())]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(batch: pa.RecordBatch, rows: list[tuple[int, int, int, int, str]]) -> pa.RecordBatch:
+            of, *columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *[pa.array(c, pa.int32()) for c in columns[:3]], pa.array(columns[3], pa.string())], [key, *[f.name for f in fields]])
 
-    @F.pandas_udf(_CHUNK)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [(i, a, b, t[a:b]) for i, (a, b) in enumerate(chunk_bounds(t, size, overlap))] if t else [])
+        for batch in batches:
+            rows, held = [], 0
+            for n in range(batch.num_rows):
+                t = batch.column(1)[n].as_py()
+                if t:
+                    rows += [(n, i, a, b, t[a:b]) for i, (a, b) in enumerate(chunk_bounds(t, size, overlap))]
+                    held += len(t)
+                if held >= HELD:
+                    yield out(batch, rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(batch, rows)
 
     trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
-    return pages.select(key, F.explode(cut(trimmed)).alias("c")).select(key, "c.*")
+    return pages.select(key, trimmed.cast("string").alias("_text")).mapInArrow(cut, T.StructType([pages.schema[key], *fields]))
 
 
 def paragraph_rows(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

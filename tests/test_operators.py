@@ -245,3 +245,27 @@ def test_scores_are_computed_once_for_a_fusion(spark, tmp_path):
     spark.range(60).selectExpr("id AS vec_id", "array(cast(id + 1 AS double), 1.0D) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     out = plans.rrf_weighted(spark, str(tmp_path))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and out.count() == 120
+
+
+def test_chunks_leave_in_parts(spark, monkeypatch):
+    """A batch of many pages is not held with all its chunks."""
+    seen = []
+    monkeypatch.setattr(chunking, "HELD", 3000)
+    pages = [(i, "word " * 200) for i in range(40)] + [(40, None), (41, "")]
+
+    class Pages:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, cut, schema):
+            import pyarrow as pa
+
+            columns = [pa.array(x) for x in zip(*pages, strict=True)]
+            seen.extend(cut(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "_text"])])))
+
+    chunking.chunk(Pages(), size=100, overlap=10)
+    assert len(seen) > 10 and max(sum(len(t) for t in b.column("text").to_pylist()) for b in seen) < 6000
+    want = [(i, n, a, b, t[a:b]) for i, t in pages if t for n, (a, b) in enumerate(chunking.chunk_bounds(t, 100, 10))]
+    assert [tuple(r.values()) for b in seen for r in b.to_pylist()] == want
