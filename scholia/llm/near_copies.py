@@ -1,9 +1,10 @@
 """Near copies: documents whose word shingles have a Jaccard similarity of ``least`` or more, as connected components.
 
-Documents with one set of shingles are one node. Candidates share a MinHash band: of ``BANDS`` bands of ``ROWS`` minima each, a
-pair of similarity 0.8 shares at least one with probability 0.9999. Each link is verified on both whole sets (of XXH64).
+Documents with one set of shingles are one node. Candidates are, first, nodes whose SimHash fingerprints operator 5's tiles link,
+and, as few pairs of similarity 0.8 lie within ``RADIUS`` bits, nodes that share a MinHash band: of ``BANDS`` bands of ``ROWS`` minima
+each, a pair of similarity 0.8 shares at least one with probability 0.9999. Each link is verified on both whole sets (of XXH64).
 
-A band's value shared by many nodes is first compared as a star around one of them, another in each band and round; nodes that
+A band's value shared by many nodes is compared as ``STARS`` stars around nodes of it, others in each band; nodes that
 are then in one component need no more comparisons. Nodes of values that still reach over several components, such as those of
 texts that share a long passage and little else, get ``SHARP`` bands of ``SHARP_ROWS`` minima: a pair of similarity 0.8 shares at
 least one with probability 0.99998, one of 0.5 with probability 0.09. Sharp values of several components are joined to groups, and
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.llm.common import cut
-from scholia.llm.simhash import components, components_of, shingle_hashes
+from scholia.llm.simhash import components, components_of, fingerprint, links, parts, shingle_hashes
 
+#: Bits in which fingerprints of a pair may differ.
+RADIUS = 4
 BANDS, ROWS = 32, 6
 STARS = 2
 #: Members that are compared with one copy of a hub's text in one task.
@@ -99,10 +102,11 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = (shingles(t.as_py(), words) for t in b.column("text"))
-            rows = [(node(s), bands(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "copy", "node", "keys"])
+            rows = [(node(s), bands(s), fingerprint(s)) for s in sets]
+            prints = pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), prints], ["doc_id", "copy", "node", "keys", "fp"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(each, T.StructType([docs.schema["doc_id"], T.StructField("copy", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(each, T.StructType([docs.schema["doc_id"], T.StructField("copy", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -190,7 +194,7 @@ def _tiled(left: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
     jobs = dealt.select("group", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "root")
     rows = jobs.join(texts, "node").repartition("group", "first", "second").sortWithinPartitions("group", "first", "second", "own")
 
-    def links(job: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    def linked(job: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
         if len({root for _, _, root, _ in job}) < 2:
             return []
         own, nodes_, roots, sets = (list(x) for x in zip(*job, strict=True))
@@ -204,48 +208,51 @@ def _tiled(left: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
             columns = [batch.column(c).to_pylist() for c in ("group", "first", "second", "own", "node", "root")]
             for (group, first, second, own, node_, root), text in zip(zip(*columns, strict=True), batch.column("text"), strict=True):
                 if (group, first, second) != key:
-                    found += links(job)
+                    found += linked(job)
                     key, job = (group, first, second), []
                 job.append((own, node_, root, shingles(text.as_py(), words)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
-        if found := links(job):
+        if found := linked(job):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     return rows.mapInArrow(each, "a long, b long")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the nodes just as all pairs of fingerprints (``nodes.fp``) within ``RADIUS`` bits do, by operator 5's tiles."""
+    distinct = cut(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
+    near = links(distinct.select("fp"), RADIUS, parts(distinct.count(), RADIUS))
+    hub = lambda c: distinct.select(F.col("fp").alias(c), F.col("hub").alias(f"{c}_hub"))
+    between = near.join(hub("a"), "a").join(hub("b"), "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    return between.unionByName(nodes.join(distinct, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
 def _roots(nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """node, root for each node that is linked to another."""
     placed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = cut(placed.join(shared.select("band", "key"), ["band", "key"], "left_semi"))
-    texts = cut(_texts(docs, live.select("node").distinct(), words))
-    edges = roots = None
-    for number in range(STARS + 1):
-        if roots is None:
-            now = live.withColumn("root", F.col("node"))
-        else:
-            now = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            apart = now.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-            now = cut(now.join(apart.select("band", "key"), ["band", "key"], "left_semi"))
-        if number < STARS:
-            draw = F.xxhash64(F.lit(number), "band", "node")
-            centre = now.groupBy("band", "key").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root")), draw).alias("c")).select("band", "key", "c.*")
-            pairs = now.join(centre, ["band", "key"]).where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            links = cut(_verified(cut(pairs.distinct()), texts, words, least))
-        else:
-            links = cut(_tiled(now, texts, words, least))
-        edges = links if edges is None else edges.unionByName(links)
-        roots = components(edges)
-    return roots
+    pairs = _fingerprint_pairs(nodes)
+    if STARS:
+        draws = [F.min_by("node", F.xxhash64(F.lit(number), "band", "node")) for number in range(STARS)]
+        centres = live.groupBy("band", "key").agg(F.array_distinct(F.array(*draws)).alias("hubs"))
+        pairs = pairs.unionByName(live.join(centres, ["band", "key"]).select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = live.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = cut(_texts(docs, wanted, words))
+    edges = cut(_verified(pairs, texts, words, least))
+    now = live.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = now.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    now = cut(now.join(apart.select("band", "key"), ["band", "key"], "left_semi"))
+    return components(edges.unionByName(cut(_tiled(now, texts, words, least))))
 
 
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, node, component_id for each row of ``docs``."""
     prints = cut(_prints(docs, words))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys")))
-    roots = _roots(nodes.select("node", "keys"), docs, words, least)
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp")))
+    roots = _roots(nodes.select("node", "keys", "fp"), docs, words, least)
     return components_of(prints.select("doc_id", "copy", "node"), nodes.select("node", "least", "n"), roots, "node").select("doc_id", "node", "component_id", "copy")
 
 

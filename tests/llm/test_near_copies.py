@@ -92,3 +92,19 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == ["1", "10", "2", "5", "6", "8", "None"]
     assert N.near_copies(odd).count() == len(rows()) and N.near_copies(none).count() == 0
+
+
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    """Operator 5's tiles alone join close copies; unlike texts of near fingerprints are told apart by their sets."""
+    monkeypatch.setattr(N, "STARS", 0)
+    monkeypatch.setattr(N, "_tiled", lambda now, texts, words, least: spark.createDataFrame([], "a long, b long"))
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeioustrnlcdm") for _ in range(6))
+    bases = [[word() for _ in range(2000)] for _ in range(10)]
+    texts = [" ".join(b) for b in bases] + [" ".join([*b[:-1], word()]) for b in bases]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {row["doc_id"]: row["component_id"] for row in N.near_copies(docs).collect()} == {i: i % 10 for i in range(20)}
+    monkeypatch.setattr(N, "RADIUS", 30)
+    monkeypatch.setattr(N, "parts", lambda *a: 31)
+    monkeypatch.setattr(N, "links", lambda fps, radius, blocks: fps.alias("x").join(fps.alias("y"), how="cross").selectExpr("x.fp AS a", "y.fp AS b"))
+    assert {row["doc_id"]: row["component_id"] for row in N.near_copies(docs).collect()} == {i: i % 10 for i in range(20)}
