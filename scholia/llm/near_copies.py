@@ -182,7 +182,7 @@ def links_of(sets: list[np.ndarray], roots: list[int], split: int, least: float)
 
 
 def _tiled(left: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (a, b) between nodes of different roots among ``left`` (band, key, node, root), found within groups of shared sharp values."""
+    """Pairs (a, b) of different roots with a link between their nodes among ``left`` (band, key, node, root), found within groups of shared sharp values."""
     nodes = cut(_sharp(left.select("node", "root").distinct(), texts, words))
     placed = nodes.select("node", "root", F.posexplode("keys").alias("band", "key"))
     hubs = placed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key", "hub")
@@ -194,23 +194,23 @@ def _tiled(left: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
     jobs = dealt.select("group", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "root")
     rows = jobs.join(texts, "node").repartition("group", "first", "second").sortWithinPartitions("group", "first", "second", "own")
 
-    def linked(job: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        if len({root for _, _, root, _ in job}) < 2:
+    def linked(job: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        if len({root for _, root, _ in job}) < 2:
             return []
-        own, nodes_, roots, sets = (list(x) for x in zip(*job, strict=True))
+        own, roots, sets = (list(x) for x in zip(*job, strict=True))
         split = own.index(own[-1])  # 0 where a tile is compared with itself, or where the other tile is empty
-        return [(nodes_[i], nodes_[j]) for i, j in links_of(sets, roots, split, least)]
+        return [(roots[i], roots[j]) for i, j in links_of(sets, roots, split, least)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, job = None, []
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("group", "first", "second", "own", "node", "root")]
-            for (group, first, second, own, node_, root), text in zip(zip(*columns, strict=True), batch.column("text"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("group", "first", "second", "own", "root")]
+            for (group, first, second, own, root), text in zip(zip(*columns, strict=True), batch.column("text"), strict=True):
                 if (group, first, second) != key:
                     found += linked(job)
                     key, job = (group, first, second), []
-                job.append((own, node_, root, shingles(text.as_py(), words)))
+                job.append((own, root, shingles(text.as_py(), words)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
         if found := linked(job):
@@ -241,11 +241,14 @@ def _roots(nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataF
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = live.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = cut(_texts(docs, wanted, words))
-    edges = cut(_verified(pairs, texts, words, least))
-    now = live.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = components(_verified(pairs, texts, words, least))
+    now = live.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = cut(now)
     apart = now.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     now = cut(now.join(apart.select("band", "key"), ["band", "key"], "left_semi"))
-    return components(edges.unionByName(cut(_tiled(now, texts, words, least))))
+    later = components(_tiled(now, texts, words, least)).select(F.col("node").alias("root"), F.col("root").alias("later"))
+    both = first.unionByName(later.select(F.col("root").alias("node"), "root")).distinct()
+    return both.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
 
 
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

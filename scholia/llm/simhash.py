@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,29 +169,30 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for each node of the undirected ``edges`` (a, b).
 
     Large-star hangs each node's larger neighbours on its smallest, small-star its smaller ones; a round ends in a checkpoint,
-    and the rounds, of which there are about log squared of the longest chain, end when the edges stay the same.
+    and the rounds, of which there are about log squared of the longest chain, end when each node hangs on one that hangs on none.
     """
 
     def with_smallest(e: DataFrame, total: int, most: int) -> DataFrame:
+        if most <= max(1000, total // 1000):  # no node has more neighbours than a window may hold
+            return e.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
         least = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         return salted_join(e, least, "u", F.col("v"), total, most)
 
+    def turned(*pairs: tuple[str, str], names: tuple[str, str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in pairs]))
+
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        # the edges in short, and the largest degree, which bounds that of the second join too
-        state = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first()
-        if state == before:
+        both = edges.select(turned(("a", "b"), ("b", "a"), names=("u", "v")))
+        each = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("u")).alias("up"))
+        # the largest degree bounds that of the second star too
+        total, most, moving = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if(F.expr("up > 1 or (up = 1 and n > 1)"))).first()
+        if not moving:
             break
-        before = state
-        large = with_smallest(both, state[0], state[2]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        hung = with_smallest(down, state[0], state[2])
-        small = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(hung.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = cut(small)
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+        large = with_smallest(both, total, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = with_smallest(large, total, most).select(turned(("v", "m"), ("u", "m"), names=("a", "b")))
+        edges = cut(hung.where("a <> b").distinct())
+    return edges.select(turned(("a", "b"), ("b", "b"), names=("node", "root"))).distinct()
 
 
 def components_of(docs: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:

@@ -108,3 +108,12 @@ def test_fingerprints_link_without_bands(spark, monkeypatch):
     monkeypatch.setattr(N, "parts", lambda *a: 31)
     monkeypatch.setattr(N, "links", lambda fps, radius, blocks: fps.alias("x").join(fps.alias("y"), how="cross").selectExpr("x.fp AS a", "y.fp AS b"))
     assert {row["doc_id"]: row["component_id"] for row in N.near_copies(docs).collect()} == {i: i % 10 for i in range(20)}
+
+
+def test_shuffle_files_go(spark):
+    """Each step's shuffle files go when its rows are in the checkpoint folder, as a stage has some forty steps."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    before = set(files().split())
+    rows_ = N.cut(spark.range(1000).selectExpr("id % 7 AS a").groupBy("a").count())
+    assert not [f for f in set(files().split()) - before if "/shuffle_" in f]
+    assert sorted(map(tuple, rows_.collect())) == [(a, 143 if a < 6 else 142) for a in range(7)]

@@ -86,3 +86,23 @@ def test_hot_centre(spark):
 
 def test_parts_grow_with_the_fingerprints():
     assert [S.parts(n, 4) for n in (0, 1000, 10**7, 10**9, 5 * 10**10)] == [5, 5, 5, 6, 7]
+
+
+def test_rounds_end_with_stars(spark, monkeypatch):
+    """Stars need no round; chains, hubs and random edges give what union-find gives, no round after the last that changes them."""
+    cuts = []
+    monkeypatch.setattr(S, "cut", lambda df, f=S.cut: cuts.append(1) or f(df))
+    r = random.Random(3)
+    for edges, most in ([[(1, x) for x in range(2, 50)] + [(60, 61)], 1], [[(1, 2), (2, 3)], 2], [[(i, i + 1) for i in range(60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(90)] + [(300, x) for x in range(301, 1700)], 9]):
+        cuts.clear()
+        root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+        def top(x, root=root):
+            return x if root[x] == x else top(root[x])
+
+        for a, b in edges:
+            if a != b:
+                a, b = sorted((top(a), top(b)))
+                root[b] = a
+        assert {row.node: row.root for row in S.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {x: top(x) for x in root}
+        assert len(cuts) <= most
