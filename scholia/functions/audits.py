@@ -33,6 +33,9 @@ ENDS = r"(?<=[^0-9]\.)\s+|(?<=[0-9]\.)(?!\d)\s+"
 JOINS = r"(?:,\s*|\s+)(?:và|đồng\s+thời|nhưng|hoặc)\s+"
 STATES = r"(?U)[\p{L}\p{N}+\-=<>/*^√∑∫π≠≤≥]"
 
+#: Characters of a text that are cut into spans before the rest.
+HEAD = 4096
+
 AUDIT = "struct<status: string, claims: array<struct<statement: string, source_id: string, evidence_quote: string, verdict: string>>>"
 _CLAIM = "array<struct<statement: string, source_id: string, evidence_quote: string, verdict: string>>"
 
@@ -60,10 +63,22 @@ def text_field(value: Column, name: str) -> Column:
 
 
 def catalog(text: Column, limit: int = 30) -> Column:
-    """Array of a source's first ``limit`` spans, E1 on: parts of its lines of three or more characters, each as it stands; the whole text if there is none."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"), stripped), lambda p: p != "")
-    parts = F.flatten(F.transform(lines, lambda p: F.split(p, ENDS + r"|[!?]+\s+|;\s+")))
-    return let(F.slice(F.filter(F.transform(parts, stripped), lambda s: F.length(s) >= 3), 1, limit), lambda k: F.when(F.size(k) > 0, k).when(stripped(text) != "", F.array(stripped(text))).otherwise(F.array().cast("array<string>")))
+    """Array of a source's first ``limit`` spans, E1 on: parts of its lines of three or more characters, each as it stands; the whole text if there is none.
+
+    Of a long text the first ``HEAD`` characters are cut first. All their parts but the last are parts of the text, so the rest is
+    cut only if they give too few spans.
+    """
+
+    def parts(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"), stripped), lambda p: p != "")
+        return F.flatten(F.transform(lines, lambda p: F.split(p, ENDS + r"|[!?]+\s+|;\s+")))
+
+    def spans(p: Column) -> Column:
+        return F.slice(F.filter(F.transform(p, stripped), lambda s: F.length(s) >= 3), 1, limit)
+
+    head = let(parts(F.substring(text, 1, HEAD)), lambda p: spans(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0)))))
+    first = let(F.when(F.length(text) > HEAD, head), lambda k: F.when(F.size(k) == limit, k).otherwise(spans(parts(text))))
+    return let(first, lambda k: F.when(F.size(k) > 0, k).when(stripped(text) != "", F.array(stripped(text))).otherwise(F.array().cast("array<string>")))
 
 
 def evidence_quote(spans: Column, evidence_id: Column) -> Column:
@@ -124,9 +139,11 @@ def covered(draft: Column, supported: Column) -> Column:
     return let(F.struct(known.alias("known"), statements(draft).alias("said")), met)
 
 
-def audited(raw: Column, sources: Column, draft: Column | None = None) -> Column:
+def audited(raw: Column, sources: Column, draft: Column | None = None, catalogs: Column | None = None) -> Column:
     """Struct AUDIT of an auditor's output, given the admitted sources (a map from id to text). Fails closed.
 
+    ``catalogs``: a map from id to the source's catalog, where the caller has it; else a claim's is made anew.
+
     ``status``: verified, partially_verified or unverified. Unverified with no claims: no strict object (see ``strict_object``; code
     fences may stand around it), no claims, or one that lacks a statement, source, quote or verdict as text. An evidence id gives the
     quote; one that the source lacks leaves the given quote, or an invalid one. A claim on a source that was not admitted is
@@ -145,7 +162,7 @@ def audited(raw: Column, sources: Column, draft: Column | None = None) -> Column
         evidence, given = F.try_variant_get(c, "$.evidence_id", "string"), text_field(c, "evidence_quote")
         source = text_field(c, "source_id")
         named = stripped(F.coalesce(evidence, F.lit(""))) != ""
-        found = F.when(named, evidence_quote(catalog(F.try_element_at(sources, source)), evidence))
+        found = F.when(named, evidence_quote(catalog(F.try_element_at(sources, source)) if catalogs is None else F.try_element_at(catalogs, source), evidence))
         quote = F.coalesce(found, F.when(named & (F.coalesce(given, F.lit("")) == ""), F.lit(INVALID)).otherwise(given))
         said = F.lower(stripped(text_field(c, "verdict")))
         return F.struct(text_field(c, "statement").alias("statement"), source.alias("source_id"), quote.alias("evidence_quote"), said.alias("verdict"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import audits as A
+from scholia.plans import claims
 
 SOURCES = {"S1": "Cây có rễ. Rễ hút nước! Lá xanh; thân cao.\nGiá trị là 3.5 m. a < b & c", "S2": "Đất ẩm."}
 
@@ -89,3 +90,30 @@ def test_catalogue_and_ids(spark):
     df = spark.createDataFrame([(SOURCES["S1"], i) for i in ("E1", "e-05", "E 6.", "E0", "E9", "5", None)] + [("ab", "E1"), (" ", "E1"), (None, "E1")], "t string, i string")
     got = df.select(A.evidence_quote(A.catalog(F.col("t")), F.col("i")).alias("q")).collect()
     assert [r["q"] for r in got] == ["Cây có rễ.", "Giá trị là 3.5 m.", "a < b & c", None, None, None, None, "ab", None, None]
+
+
+def test_catalog_of_long_texts(spark, monkeypatch):
+    """However little of a text is cut first, the spans are those of the whole."""
+    texts = [
+        "One. Two is 3. 4 five! Six?  Seven; eight.\r\nNine.\r\n\r\n   Ten is 10.\n ab \nc. d. e. Eleven.   \n\nTwelve!! Thirteen; f; g; fourteen.",
+        "word " * 40 + "end. " + "Last one here",
+        "a. b. c. d. e. f. g. h. i. j. k. l. m. n. o. p. q. r. s. t. u. v. w. only here",
+        " \n \r\n" * 20,
+        "x" * 60,
+        "Câu một. " * 30,
+        "",
+        None,
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    cols = [A.catalog(F.col("text"), limit) for limit in (1, 2, 5, 30)]  # no text is longer than HEAD
+    want = docs.select("id", *cols).orderBy("id").collect()
+    assert [len(x) for x in want[0][1:]] == [1, 2, 5, 12] and want[2][1] == ["only here"] and want[4][1] == ["x" * 60]
+    for head in (1, 2, 3, 7, 12, 20, 33, 46, 47, 64, 100):
+        monkeypatch.setattr(A, "HEAD", head)
+        assert docs.select("id", *[A.catalog(F.col("text"), limit) for limit in (1, 2, 5, 30)]).orderBy("id").collect() == want
+
+
+def test_query_makes_a_catalog_once(spark):
+    """No filter, and no claim, makes the catalog of a document again."""
+    plan = claims.answer_audit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted({line.split("Generate")[0].strip() for line in plan.split("\n") if "x0B" in line}) == ["+-"] and plan.count("x0B") == 2
