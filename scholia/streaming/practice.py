@@ -13,56 +13,55 @@ OUT = "store string, id long, session string, outcome string, alive int"
 
 
 class Sessions(StatefulProcessor):
-    """State of a store: its sessions (when made, when last used) and its clock. At most ``most`` sessions, so state is bounded."""
+    """State of a store: its clock and sessions (when made, when last used), as one value. At most ``most`` sessions, so state is bounded.
+
+    One value, as each call to the state goes to the engine and back: a batch of a store takes one to read it, one to write it, one for the timer.
+    """
 
     def __init__(self, ttl_ms: int, most: int):
         self.ttl, self.most = ttl_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sessions = handle.getMapState("sessions", "session string", "made long, used long")
-        self.clock = handle.getValueState("clock", "at long, turn long")
+        self.state = handle.getValueState("state", "at long, turn long, sessions array<string>, made array<long>, used array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, turn = self.clock.get() if self.clock.exists() else (-(1 << 62), 0)
-        live = {k[0]: tuple(v) for k, v in self.sessions.iterator()}
-        before = dict(live)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at_ms", "id"]).itertuples():
-            at, turn = max(at, int(r.at_ms)), turn + 1  # a late row comes at the store's clock: time does not run backwards
-            live = {s: v for s, v in live.items() if at - v[0] <= self.ttl}
-            if r.creates:
-                live[r.session] = (at, turn)
+        at, turn, *held = self.state.get() or (-(1 << 62), 0, [], [], [])
+        live = {s: (made, used) for s, made, used in zip(*held, strict=True)}
+        requests = [r for batch in rows for r in zip(*[batch[c].tolist() for c in ("at_ms", "id", "session", "creates")], strict=True)]
+        requests.sort(key=lambda r: r[:2])
+        sessions_, outcomes, alive = [], [], []
+        for time, _, session, creates in requests:
+            at, turn = max(at, time), turn + 1  # a late row comes at the store's clock: time does not run backwards
+            for s in [s for s, v in live.items() if at - v[0] > self.ttl]:
+                del live[s]
+            if creates:
+                live[session] = (at, turn)
                 outcome = "created"
                 while len(live) > self.most:
                     del live[min(live, key=lambda s: live[s][1])]
-            elif r.session in live:
-                live[r.session] = (live[r.session][0], turn)
+            elif session in live:
+                live[session] = (live[session][0], turn)
                 outcome = "used"
             else:
                 outcome = "unknown"
-            out.append((key[0], int(r.id), r.session, outcome, len(live)))
-        for s in before.keys() - live.keys():
-            self.sessions.removeKey((s,))
-        for s, v in live.items():
-            if before.get(s) != v:
-                self.sessions.updateValue((s,), v)
-        self.clock.update((at, turn))
+            sessions_.append(session)
+            outcomes.append(outcome)
+            alive.append(len(live))
+        self.state.update((at, turn, list(live), [v[0] for v in live.values()], [v[1] for v in live.values()]))
         if live:  # once all that live now must be over, an idle store's state goes
             self.handle.registerTimer(max(v[0] for v in live.values()) + self.ttl + 1)
-        yield pd.DataFrame(out, columns=["store", "id", "session", "outcome", "alive"])
+        yield pd.DataFrame({"store": [key[0]] * len(alive), "id": [r[1] for r in requests], "session": sessions_, "outcome": outcomes, "alive": alive})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        left = 0
-        for k, v in list(self.sessions.iterator()):
-            if now - v[0] > self.ttl:
-                self.sessions.removeKey(k)
-            else:
-                left += 1
+        at, turn, *held = self.state.get() or (0, 0, [], [], [])
+        left = [x for x in zip(*held, strict=True) if now - x[1] <= self.ttl]
         if not left:
-            self.clock.clear()
-        yield pd.DataFrame({"store": pd.Series([], dtype=str), "id": pd.Series([], dtype="int64"), "session": pd.Series([], dtype=str), "outcome": pd.Series([], dtype=str), "alive": pd.Series([], dtype="int32")})
+            self.state.clear()
+        elif len(left) < len(held[0]):
+            self.state.update((at, turn, *map(list, zip(*left, strict=True))))
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -5,6 +5,8 @@ import random
 from collections import OrderedDict
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+
 from scholia.streaming import practice as P
 from scholia.streaming import runs
 
@@ -56,3 +58,47 @@ def test_batches_with_late_rows(spark, tmp_path):
     got = {x["id"]: (x["store"], x["session"], x["outcome"], x["alive"]) for x in out.collect()}
     assert got == plain(batches, 1800, 4)
     assert {x[2] for x in got.values()} == {"created", "used", "unknown"} and max(x[3] for x in got.values()) == 4
+
+
+class State:
+    """A value state that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls, self.timer = self.calls + 1, at
+
+    def getExpiryTimeInMs(self):
+        return self.timer
+
+
+def test_few_calls_to_the_state():
+    """A batch of a store costs three calls to the state, however many sessions it has; an expired store leaves nothing."""
+    state = State()
+    p = P.Sessions(1000, 3)
+    p.init(state)
+    for batch in range(2):
+        rows = pd.DataFrame({"at_ms": [100 * batch + n for n in range(8)], "id": range(8), "session": [f"p{n % 5}" for n in range(8)], "creates": [n != 6 for n in range(8)]})
+        (out,) = p.handleInputRows(("s",), iter([rows[4:], rows[:4]]), None)
+        assert state.calls == 3 and out["id"].tolist() == list(range(8)) and out["alive"].max() == 3
+        assert out["outcome"].tolist() == ["created"] * 6 + ["unknown", "created"]
+        state.calls = 0
+    assert state.value == (107, 16, ["p4", "p0", "p2"], [104, 105, 107], [13, 14, 16])
+    state.timer = 1105
+    assert not list(p.handleExpiredTimer(("s",), None, state)) and state.value[2] == ["p0", "p2"]
+    state.timer = 1108
+    assert not list(p.handleExpiredTimer(("s",), None, state)) and state.value is None
