@@ -170,29 +170,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star hangs each node's larger neighbours on its smallest, small-star its smaller ones; a round ends in a checkpoint,
     and the rounds, of which there are about log squared of the longest chain, end when each node hangs on one that hangs on none.
+    Edges point from the larger node to the smaller and stay one row each: a node's smallest is among its smaller ones or itself, so
+    large-star moves an edge's smaller end there, and small-star turns each edge but the smallest of its larger end.
     """
-
-    def with_smallest(e: DataFrame, total: int, most: int) -> DataFrame:
-        if most <= max(1000, total // 1000):  # no node has more neighbours than a window may hold
-            return e.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
-        least = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        return salted_join(e, least, "u", F.col("v"), total, most)
-
-    def turned(*pairs: tuple[str, str], names: tuple[str, str]) -> Column:
-        return F.inline(F.array(*[F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in pairs]))
-
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        both = edges.select(turned(("a", "b"), ("b", "a"), names=("u", "v")))
-        each = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("u")).alias("up"))
-        # the largest degree bounds that of the second star too
-        total, most, moving = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if(F.expr("up > 1 or (up = 1 and n > 1)"))).first()
+        ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", F.lit(None).cast("long")))
+        each = ends.groupBy("u").agg(F.coalesce(F.min("v"), F.col("u")).alias("m"), F.count("v").alias("up"), F.count_if(F.col("v").isNull()).alias("n"))
+        total, up, most, moving = each.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("up"), F.max("up"), F.max("n"))], F.count_if(F.expr("up > 1 or (up = 1 and n > 0)"))).first()
         if not moving:
             break
-        large = with_smallest(both, total, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = with_smallest(large, total, most).select(turned(("v", "m"), ("u", "m"), names=("a", "b")))
-        edges = cut(hung.where("a <> b").distinct())
-    return edges.select(turned(("a", "b"), ("b", "b"), names=("node", "root"))).distinct()
+        large = salted_join(edges, each.where("n > 0").select(F.col("u").alias("b"), "m", "n"), "b", F.col("a"), total, most).select("a", F.col("m").alias("b"))
+        if up <= max(1000, total // 1000):  # no node has more smaller neighbours than a window may hold
+            small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        else:
+            small = salted_join(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "a", F.col("b"), total, up)
+        edges = cut(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
 def components_of(docs: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:

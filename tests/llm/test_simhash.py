@@ -106,3 +106,13 @@ def test_rounds_end_with_stars(spark, monkeypatch):
                 root[b] = a
         assert {row.node: row.root for row in S.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {x: top(x) for x in root}
         assert len(cuts) <= most
+
+
+def test_an_edge_stays_one_row(spark, monkeypatch):
+    """No round makes rows of an edge's two directions, also where hubs are salted: nodes with many larger, and with many smaller neighbours."""
+    plans = []
+    monkeypatch.setattr(S, "cut", lambda df, f=S.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    for edges in ([(1, x) for x in range(3, 1500)] + [(2, x) for x in range(1400, 2900)], [(5000, x) for x in range(1200)] + [(6000, x) for x in range(1100, 2300)] + [(7000, 7001)]):
+        got = {row.node: row.root for row in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: 7000 if x >= 7000 else min(map(min, edges)) for e in edges for x in e}
+    assert len(plans) > 4 and not [p for p in plans if "inline(" in p]
