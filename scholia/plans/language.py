@@ -92,9 +92,9 @@ def processing_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rewrite_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Rewrites of user turns: as they are, with a number more, halved, or with a negation put in."""
+    """Rewrites of user turns: in capitals, with a number more, halved, or with a negation put in."""
     rows = _asked(spark, d).withColumn("k", (F.col("conv_id") + F.col("turn")) % 4)
-    made = F.when(F.col("k") == 1, F.concat("text", F.lit(" 77"))).when(F.col("k") == 2, F.expr("substring(text, 1, cast(length(text) / 2 AS int))")).when(F.col("k") == 3, F.concat(F.lit("never "), "text")).otherwise(F.upper("text"))
+    made = F.when(F.col("k") == 1, F.concat("text", F.lit(" 77"))).when(F.col("k") == 2, F.expr("substring(text, 1, cast(length(text) / 2 AS int))")).when(F.col("k") == 3, F.concat(F.lit("never "), "text")).otherwise(C.capitals(F.col("text")))
     return rows.select("conv_id", "turn", Q.rewrite_admitted(F.col("text"), made).alias("admitted"))
 
 

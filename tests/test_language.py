@@ -55,6 +55,11 @@ def test_questions(spark):
     assert all_of(spark, Q.rewrite_admitted, *pairs) == [True, False, True, False, False, False]
 
 
+def test_rewrites_in_capitals(spark):
+    assert all_of(spark, Q.rewrite_admitted, ("große Straße", "GROSSE STRASSE"), ("GROẞE STRAẞE", "große straße"), ("½", "½"), ("ⓐ", "ⓐ")) == [True, True, True, False]
+    assert all_of(spark, C.capitals, "daß ŉ ﬁ é \U0001f600", "é a", "", None) == ["DAß ŉ ﬁ É \U0001f600", "É A", "", None]
+
+
 def test_cleaning(spark):
     given = ['ánh xạtuyến tính\x01 a   b "x   y" don\'t   z\n\n\n\nq  \tw', "def f(x):\n  return  1\0", "été", None, "  a \t b"]
     assert all_of(spark, C.cleaned, *given) == ['ánh xạ tuyến tính a b "x   y" don\'t z\n\nq w', "def f(x):\n  return  1", "été", "", "a b"]
