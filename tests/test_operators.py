@@ -238,6 +238,25 @@ def test_limited_cosines_are_those_of_all(spark):
     assert limited.count() < every.count() / 2
 
 
+def test_cosines_of_very_large_and_small_vectors(spark):
+    """A vector's length, up to that of the largest and smallest doubles, takes no pair away: every pair of the directions has its score."""
+    import math
+    import random
+
+    r = random.Random(2)
+    directions = [[r.uniform(-1, 1) for _ in range(5)] for _ in range(12)]
+    lengths = [1.0, 1e-45, 3e38, 1e-150, 1e-160, 1e-200, 1e-300, 1e99, 1e101, 1e150, 1e160, 1e307]
+    rows = [(100 * i + j, [x * n for x in v]) for i, v in enumerate(directions) for j, n in enumerate(lengths)]
+    df = spark.createDataFrame([*rows, (5000, [0.0] * 5), (5001, [float("nan")] * 5), (5002, [1e308, float("inf"), 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = df.selectExpr("vec_id AS query_id", "embedding AS query")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b))
+    want = {(100 * i + j, 100 * k + m): cos(v, w) for i, v in enumerate(directions) for k, w in enumerate(directions) for j in range(12) for m in range(12)}
+    got = {(q, v): s for q, v, s in retrieval.cosine_all(df, asked, block=16).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+    met = {(q, v) for q, v, _ in retrieval.cosine_all(df, asked, block=16, least=0.3).collect()}
+    assert met == {p for p in want if got[p] >= 0.3}
+
+
 def test_scores_are_computed_once_for_a_fusion(spark, tmp_path):
     from scholia.plans import retrieval as plans
 

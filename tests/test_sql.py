@@ -35,3 +35,13 @@ def test_span_resolution(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(texts)]
     got, want = both(spark, tmp_path, "span_resolution", documents=(rows, "doc_id long, text string"))
     assert len(got) > 700 and sum(x[1] is not None for x in got) > 400 and got == want
+
+
+def test_cosine_threshold(spark, tmp_path):
+    """Every pair that meets the threshold, in any block and part: scores at the limit, copies, repeated and null ids, floats of every size."""
+    r = random.Random(8)
+    sizes = [1.0, 1.0, 1e-44, 1e-30, 1e30]
+    vectors = [[r.choice([-1, 0, 1, 1]) * s for _ in range(10)] for _ in range(2500) for s in [r.choice(sizes)]]
+    rows = [(i, v if any(v) else None) for i, v in enumerate(vectors)] + [(0, [1.0] * 10), (0, [1.0] * 10), (None, [1.0] * 10), (-50, [1.0] * 10)]
+    got, want = both(spark, tmp_path, "cosine_threshold", embeddings=(rows, "vec_id long, embedding array<float>"))
+    assert len(got) > 20_000 and {0.3, 0.316228} & {x[2] for x in got} and got == want
