@@ -22,14 +22,18 @@ ABBREVIATIONS = ["PhD", "Dr", "Mr", "Mrs", "Ms", "Prof", "vs", r"e\.g", r"i\.e",
 SPAN = "struct<verbatim: string, begin: int, end: int, how: string>"
 
 
-def stripped(text: Column, blank: str = BLANK) -> Column:
-    """Without white space, of any script unless ``blank`` is another class, at both ends."""
+def stripped(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return _stripped(text, BLANK)
+
+
+def _stripped(text: Column, blank: str) -> Column:
     return F.regexp_replace(text, rf"^{blank}+|{blank}+\z", "")
 
 
 def _literal(text: Column, blank: str) -> Column:
     """A pattern for the words of the text, in order, with any white space between them."""
-    return F.regexp_replace(F.regexp_replace(stripped(text, blank), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), f"{blank}+", blank.replace("\\", "\\\\") + "+")
+    return F.regexp_replace(F.regexp_replace(_stripped(text, blank), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), f"{blank}+", blank.replace("\\", "\\\\") + "+")
 
 
 def _placed(source: Column, seen: Column, found: Column, how: str) -> Column:
@@ -45,8 +49,8 @@ def _match(source: Column, span: Column, how: str, blank: str) -> Column:
     """As it stands; else with other white space; else with curly quotes for straight ones or the reverse."""
     plain = lambda t: F.translate(t, CURLY, STRAIGHT)
     found = lambda text, pattern: F.regexp_substr(text, pattern)
-    words = F.when(stripped(span, blank) != "", let(found(source, _literal(span, blank)), lambda f: _placed(source, source, f, how + "spaced")))
-    quotes = F.when(stripped(span, blank) != "", let(found(plain(source), _literal(plain(span), blank)), lambda f: _placed(source, plain(source), f, how + "quotes")))
+    words = F.when(_stripped(span, blank) != "", let(found(source, _literal(span, blank)), lambda f: _placed(source, source, f, how + "spaced")))
+    quotes = F.when(_stripped(span, blank) != "", let(found(plain(source), _literal(plain(span), blank)), lambda f: _placed(source, plain(source), f, how + "quotes")))
     return F.coalesce(F.when(F.contains(source, span), _placed(source, source, span, how + "exact")), words, quotes)
 
 
@@ -58,11 +62,11 @@ def resolve(source: Column, span: Column, blank: str = BLANK) -> Column:
     quote at each end, as those further in may be the source's own, then without all, and without brackets. Null or blank source or span: null.
     ``blank`` is the class of white space.
     """
-    clean = stripped(span, blank)
+    clean = _stripped(span, blank)
     marks = "".join(f"\\{c}" if c in "\"'" else c for c in WRAPPING)
     once = F.regexp_replace(clean, rf"^[{marks}]|[{marks}]\z", "")
     bare = F.regexp_replace(clean, rf"^[{marks}]+|[{marks}]+\z", "")
-    inner = F.when(bare.rlike(r"(?s)^(?:\[.*\]|\(.*\))\z") & (F.length(bare) >= 2), stripped(F.substring(bare, F.lit(2), F.length(bare) - 2), blank)).otherwise(bare)
+    inner = F.when(bare.rlike(r"(?s)^(?:\[.*\]|\(.*\))\z") & (F.length(bare) >= 2), _stripped(F.substring(bare, F.lit(2), F.length(bare) - 2), blank)).otherwise(bare)
 
     def both(x: Column) -> Column:
         fewer = F.when((x["once"] != x["clean"]) & (x["once"] != x["inner"]) & (x["once"] != ""), _match(source, x["once"], "unwrapped_", blank))
